@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     return quality.rules(_table(spark, sf_dir, "documents"))
