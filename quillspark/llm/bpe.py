@@ -32,9 +32,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes pieces by merge replay. Keeps at most `keep` encoded pieces between batches."""
+    """Encodes pieces by merge replay. Keeps the encoded pieces of two generations of `keep` at most:
+    what is used again moves on to the younger, so common pieces are replayed once."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
         import regex
 
         self.ranks, self.split, self.keep = ranks, regex.compile(pattern).findall, keep
@@ -42,59 +43,88 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, int] = {}
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int64)
 
     def pair_rank(self, left: int, right: int) -> int:
         """Rank of the token that the two make, or -1."""
-        found = self.pairs.get((left, right))
+        key = left * len(self.tokens) + right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
-        single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
-        token = [single[b] for piece in pieces for b in piece]
-        if -1 in token:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = self.single[raw]
+        if len(ids) and ids.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at, firsts = 0, []
-        for piece in pieces:
-            firsts.append(at)
-            if piece:
-                before[at] = -1
-                at += len(piece)
-                after[at - 1] = -1
-        where: dict[int, list[int]] = {}
+        n = len(raw)
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        firsts = (ends - sizes).tolist()
+        last = np.zeros(n, dtype=bool)
+        last[ends[sizes > 0] - 1] = True
+        after = np.where(last, -1, np.arange(1, n + 1)).tolist()
+        before = np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)).tolist() if n else []
+        token = ids.tolist()
         pair_rank = self.pair_rank
-        for i, j in enumerate(after):
-            if j >= 0 and (r := pair_rank(token[i], token[j])) >= 0:
-                where.setdefault(r, []).append(i)
+        # the inverted index of the pairs of bytes
+        found = np.where(last[:-1], -1, self.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]]) if n else ids
+        at = np.flatnonzero(found >= 0)
+        at = at[np.argsort(found[at], kind="stable")]
+        begins = np.flatnonzero(np.diff(found[at], prepend=-1)).tolist()
+        places_of = at.tolist()
+        where: dict[int, list[int]] = {int(found[places_of[x]]): places_of[x:y] for x, y in zip(begins, [*begins[1:], len(at)], strict=True)}
         order = list(where)
         heapq.heapify(order)
+        known, size = self.pairs.get, len(self.tokens)
         while order:
             rank = heapq.heappop(order)
-            places = sorted(where.pop(rank))
+            places = where.pop(rank)
+            places.sort()
             for k, i in enumerate(places):
                 j = after[i]
-                if j < 0 or token[i] < 0 or pair_rank(token[i], token[j]) != rank:
-                    continue  # a neighbour was merged away meanwhile
+                t = token[i]
+                if j < 0 or t < 0:
+                    continue  # merged away meanwhile
+                r = known(t * size + token[j])
+                if (pair_rank(t, token[j]) if r is None else r) != rank:
+                    continue
                 token[i], token[j] = rank, -1
                 after[i] = nxt = after[j]
+                lowest = rank
                 if nxt >= 0:
                     before[nxt] = i
-                lowest = rank
-                for a, b in ((before[i], i), (i, nxt)):
-                    if a >= 0 and b >= 0 and (r := pair_rank(token[a], token[b])) >= 0:
+                    t = token[nxt]
+                    r = known(rank * size + t)
+                    if r is None:
+                        r = pair_rank(rank, t)
+                    if r >= 0:
+                        lowest = r if r < lowest else lowest
+                        if r in where:
+                            where[r].append(i)
+                        else:
+                            where[r] = [i]
+                            heapq.heappush(order, r)
+                prv = before[i]
+                if prv >= 0:
+                    t = token[prv]
+                    r = known(t * size + rank)
+                    if r is None:
+                        r = pair_rank(t, rank)
+                    if r >= 0:
+                        lowest = r if r < lowest else lowest
                         if r in where:
-                            where[r].append(a)
+                            where[r].append(prv)
                         else:
-                            where[r] = [a]
+                            where[r] = [prv]
                             heapq.heappush(order, r)
-                        lowest = min(lowest, r)
                 if lowest < rank and k + 1 < len(places):
                     if rank in where:
                         where[rank].extend(places[k + 1 :])
@@ -111,20 +141,20 @@ class Codec:
             out.append(ids)
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes the pieces that aren't known yet, in one replay."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
+    def learn(self, pieces: set[str]) -> None:
+        """Makes the pieces known, those new to both generations in one replay."""
+        if len(self.known) + len(pieces) > self.keep:
+            self.known, self.older = {}, self.known
         rest = []
-        for p in new:
-            whole = self.ranks.get(p.encode())
-            if whole is None:
-                rest.append(p)
-            else:
+        for p in pieces:
+            if (ids := self.known.get(p) or self.older.get(p)) is not None:
+                self.known[p] = ids
+            elif (whole := self.ranks.get(p.encode())) is not None:
                 self.known[p] = whole.to_bytes(4, "little")
+            else:
+                rest.append(p)
         for p, ids in zip(rest, self.replay([p.encode() for p in rest]), strict=True):
-            self.known[p] = np.asarray(ids, dtype="<u4").tobytes()
+            self.known[p] = np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -135,13 +165,10 @@ class Codec:
                 size += len(texts[hi])
                 hi += 1
             split = [self.split(t) for t in texts[lo:hi]]
-            missing = set().union(*split)
-            missing.difference_update(self.known)
+            wanted = set().union(*split)
+            missing = wanted.difference(self.known)
             if missing:
-                if len(self.known) + len(missing) > self.keep:
-                    missing = set().union(*split)
-                    self.known.clear()
-                self.learn(missing)
+                self.learn(wanted if len(self.known) + len(missing) > self.keep else missing)
             known = self.known
             for pieces in split:
                 yield b"".join([known[p] for p in pieces])
