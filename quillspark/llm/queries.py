@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, simhash, substrings, suffixes
+from . import bpe, decontaminate, quality, simhash, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op1_suffix_dedup(spark, sf_dir):
     return suffixes.digests(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    return toxicity.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_simhash_dedup(spark, sf_dir):
     return simhash.digests(_table(spark, sf_dir, "documents"))
