@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, simhash, substrings, suffixes, toxicity
+from . import bpe, decontaminate, quality, simhash, substrings, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,25 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    return warc.digests(_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), c AS (
+  SELECT payload_digest, max(page_id) AS chosen FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN chosen IS NULL OR page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN chosen IS NOT NULL AND page_id <> chosen THEN chosen END AS refers_to
+FROM p LEFT JOIN c ON p.payload_digest = c.payload_digest
+"""
+
+
 @query
 def op5_simhash_dedup(spark, sf_dir):
     return simhash.digests(_table(spark, sf_dir, "documents"))

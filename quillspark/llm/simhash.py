@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .components import components, durable
+from .components import components
+from .storage import durable
 
 #: fixed value: the seed of a shingle's hash
 SEED = 42
