@@ -28,9 +28,9 @@ _ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("bucket
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Chunks for docs: of about chunk_bytes of text, and two for each shuffle partition at least."""
+    """Chunks for docs: of about chunk_bytes of text, and one for each shuffle partition at least."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // chunk_bytes))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // chunk_bytes))
 
 
 def chunked(docs: DataFrame, count: int) -> DataFrame:

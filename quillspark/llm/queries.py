@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, simhash, substrings, suffixes, toxicity, warc
+from . import bpe, decontaminate, htmltext, quality, simhash, substrings, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,11 @@ def op8_substring_dedup(spark, sf_dir):
     return substrings.digests(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_html_text(spark, sf_dir):
+    return htmltext.digests(_table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     return quality.rules(_table(spark, sf_dir, "documents"))

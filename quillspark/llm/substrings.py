@@ -62,11 +62,10 @@ class _Chunk:
         first = tn.first_of_rows(self.rows, len(self.ids))
         return at, h, (at - first[self.rows[at]]) % BLOCK == 0
 
-    def candidates(self, probe_keys: np.ndarray, hit: np.ndarray, probes) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the runs that hold a block that was hit."""
-        at, h, _ = probes
+    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the runs that hold a block that was hit (hits: starts of such blocks)."""
         mark = np.zeros(len(self.words) + 1, dtype=np.int64)
-        mark[at[hit[np.searchsorted(probe_keys, h)]] + 1] = 1
+        mark[hits + 1] = 1
         mark = np.cumsum(mark)
         runs = self.inside(RUN)
         runs = runs[mark[runs + RUN - BLOCK + 1] > mark[runs]]
@@ -100,9 +99,8 @@ def _by_chunk(parts, values: np.ndarray, kind: int, bucket: int) -> list[tuple]:
 
 def _runs(c: _Chunk, answers: pa.Table):
     """Candidate runs: starts, hashes, their sorting, distinct hashes and the smallest id of each."""
-    probes = c.probes()
-    hit = np.frombuffer(ex.answers(answers, 0), np.uint8).astype(bool)
-    at, h = c.candidates(np.unique(probes[1]), hit, probes)
+    at, h, _ = c.probes()
+    at, h = c.candidates(at[ex.spread(*ex.groups(h), np.frombuffer(ex.answers(answers, 0), np.uint8)) > 0])
     order, starts = ex.groups(h)
     ids = c.ids[c.rows[at]]
     least = np.minimum.reduceat(ids[order], starts) if len(starts) else np.zeros(0, np.int64)

@@ -134,12 +134,12 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, answers: pa.Table):
         self.parts = list(_parts(table))
-        keys = np.unique(np.concatenate([np.zeros(0, tn.U64), *(_cut(p.anchor_hash) for p in self.parts)]))
-        verdict = np.frombuffer(ex.answers(answers, 0), np.uint8)
+        keys = np.concatenate([np.zeros(0, tn.U64), *(_cut(p.anchor_hash) for p in self.parts)])
+        verdict = ex.spread(*ex.groups(keys), np.frombuffer(ex.answers(answers, 0), np.uint8))
+        verdicts = np.split(verdict, np.cumsum([len(p.first) for p in self.parts]))
         self.cold, self.strings = [], []  # by part: which stretches; (start, hash) of strings
         a, whole = [np.zeros(0, tn.U64)], [np.zeros(0, tn.U64)]
-        for p in self.parts:
-            v = verdict[np.searchsorted(keys, _cut(p.anchor_hash))] if len(p.first) else np.zeros(0, np.uint8)
+        for p, v in zip(self.parts, verdicts, strict=False):
             which = np.flatnonzero(v == 1)
             self.cold.append(which)
             if len(which):
