@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, quality, simhash, substrings, suffixes, toxicity, warc
+from . import bpe, decontaminate, htmltext, ngrams, quality, simhash, substrings, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ FROM p LEFT JOIN c ON p.payload_digest = c.payload_digest
 """
 
 
+@query
+def op4_ngram_scores(spark, sf_dir):
+    return ngrams.scored(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash_dedup(spark, sf_dir):
     return simhash.digests(_table(spark, sf_dir, "documents"))
