@@ -94,7 +94,7 @@ def answers(table: pa.Table, kind: int) -> bytes:
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts): the keys' sorting order, and where each distinct key begins in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     return order, np.flatnonzero(np.concatenate([[len(s) > 0], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 

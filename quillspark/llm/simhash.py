@@ -221,8 +221,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; rows that repeat a kept doc_id stay,
-    but for equal ones; rows of a null doc_id stay."""
+    """docs without the rows whose component has a smaller doc_id. Rows that repeat a kept doc_id are one
+    document and stay; so do rows of a null doc_id."""
     g = grouped(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(g.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left")
     return kept.where("kept_id is not null or doc_id is null").drop("kept_id")

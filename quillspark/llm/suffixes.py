@@ -75,7 +75,8 @@ class _Part:
         end[:-1] &= ~(valid[1:] & (anchor[1:] == anchor[:-1]) & (row[1:] == row[:-1]))
         self.last = np.flatnonzero(end)
         self.anchor = anchor[self.first]
-        self.anchor_hash = self.hash(self.anchor, self.anchor + ANCHOR)
+        # anchors are smallest hashes, so mixed again to spread over the buckets
+        self.anchor_hash = tn.mix(self.hash(self.anchor, self.anchor + ANCHOR), 0x3C6EF372)
 
     def identity(self, which: np.ndarray) -> np.ndarray:
         """Hash of the whole stretch."""
