@@ -226,7 +226,12 @@ def jaccard(a: Column, b: Column) -> Column:
 def character_grams(col: Column | str) -> Column:
     """The token, its pairs and its triples of characters, each once."""
     t = F.lower(c(col))
-    parts = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (2, 3)]
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - n + 1)
+        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    parts = [runs(2), runs(3)]
     return F.array_distinct(F.concat(F.array(t), *parts))
 
 

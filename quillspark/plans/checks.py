@@ -1 +1,118 @@
-"""Queries."""
+"""Queries over checks of translated segments. Adjacent turns stand in for source and target."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators import validate as va
+from ..session import table
+from .memory import PAIRS, pairs
+
+KEYS = "conv_id, turn"
+WORDS = "list_filter(string_split(regexp_replace({x}, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _cols(df, **cols):
+    return df.select("conv_id", "turn", *[v.alias(k) for k, v in cols.items()])
+
+
+
+
+def _s():
+    return F.col("source"), F.col("target")
+
+
+NUMBERS = r"list_distinct(list_concat(list_concat(regexp_extract_all(source, '(?i)https?://[^\s]+'), regexp_extract_all(source, '\b\d{4}-\d{2}-\d{2}\b')), list_concat(regexp_extract_all(source, '\b\d{1,2}/\d{1,2}/\d{2,4}\b'), regexp_extract_all(source, '\b\d+(?:[.,]\d+)?\b'))))"
+
+
+@query(f"WITH {PAIRS} SELECT {KEYS}, len(list_filter({NUMBERS}, lambda x: NOT contains(target, x))) AS lost FROM bi")
+def val_numbers(spark, sf):
+    from ..functions import text as t
+
+    s, g = _s()
+    return _cols(pairs(spark, sf), lost=F.size(va.lost(s, g, t.URL, t.ISO_DATE, t.SLASH_DATE, t.NUMBER)).cast("long"))
+
+
+@query(rf"WITH {PAIRS} SELECT {KEYS}, len(list_filter(list_concat(list_concat(regexp_extract_all(source, '\{{[^}}]+\}}'), regexp_extract_all(source, '<[^/>\s]+(?:\s[^/>]*[^/])?/?>')), regexp_extract_all(source, '\$\{{[^}}\+]+\}}')), lambda x: NOT contains(target, x))) AS lost FROM bi")
+def val_placeholders(spark, sf):
+    return _cols(pairs(spark, sf), lost=F.size(va.lost_placeholders(*_s())).cast("long"))
+
+
+@query(rf"WITH {PAIRS} SELECT {KEYS}, len(regexp_extract_all(target, '(?s)\[\[.*?\]\]')) AS tokens FROM bi")
+def val_tokens(spark, sf):
+    return _cols(pairs(spark, sf), tokens=F.size(va.internal_tokens(F.col("target"))).cast("long"))
+
+
+TERMS = ["the", "Thing", "idiot", "", "que"]
+LIST = "[" + ", ".join(f"'{x}'" for x in TERMS) + "]"
+
+
+@query(f"WITH {PAIRS} SELECT {KEYS}, len(list_filter({LIST}, lambda x: x <> '' AND contains(lower(target), lower(x)))) AS found FROM bi")
+def val_forbidden(spark, sf):
+    return _cols(pairs(spark, sf), found=F.size(va.present(F.col("target"), F.array(*map(F.lit, TERMS)))).cast("long"))
+
+
+@query(f"WITH {PAIRS} SELECT {KEYS}, len(list_filter({LIST}, lambda x: x <> '' AND NOT contains(lower(target), lower(x)))) AS missing FROM bi")
+def val_mustkeep(spark, sf):
+    return _cols(pairs(spark, sf), missing=F.size(va.absent(F.col("target"), F.array(*map(F.lit, TERMS)))).cast("long"))
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT {KEYS}, len({WORDS.format(x='source')}) AS a, len({WORDS.format(x='target')}) AS b FROM bi) SELECT {KEYS}, CASE WHEN a = 0 THEN NULL WHEN b / a < 0.25 THEN 'short' WHEN b / a > 4.0 THEN 'long' END AS problem FROM n")
+def val_length(spark, sf):
+    return _cols(pairs(spark, sf), problem=va.length_error(*_s()))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, trim(target) AS target, count(*) AS n FROM bi WHERE trim(target) <> '' GROUP BY conv_id, trim(target) HAVING count(*) > 1")
+def val_merge(spark, sf):
+    return pairs(spark, sf).groupBy("conv_id", F.trim("target").alias("target")).agg(F.count("*").alias("n")).where("n > 1 AND target <> ''")
+
+
+CW = "regexp_extract_all(lower({x}), '[a-zà-ÿ0-9'']+')"
+G4 = "CASE WHEN len({w}) >= 4 THEN list_transform(range(1, len({w}) - 2), lambda i: array_to_string({w}[i:i+3], ' ')) ELSE [] END"
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT {KEYS}, {CW.format(x='source')} AS s, {CW.format(x='target')} AS g FROM bi)
+SELECT {KEYS}, len(list_intersect({G4.format(w='s')}, {G4.format(w='g')})) > 0 AND len(list_filter(g, lambda x: list_contains(s, x))) / greatest(1, len(g)) >= 0.45 AS leftover FROM w""")
+def val_leftover(spark, sf):
+    return _cols(pairs(spark, sf), leftover=va.leftover(*_s()))
+
+
+@query("""WITH r AS (SELECT o_custkey AS batch, list(o_orderkey ORDER BY o_orderkey) AS want, list(o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END ORDER BY o_orderkey) AS got FROM orders GROUP BY o_custkey)
+SELECT batch, len(list_filter(want, lambda x: NOT list_contains(got, x))) AS missing, len(list_filter(got, lambda x: NOT list_contains(want, x))) AS extra FROM r""")
+def val_ids(spark, sf):
+    o = table(spark, sf, "orders")
+    got = F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
+    r = o.groupBy(F.col("o_custkey").alias("batch")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("want"), F.sort_array(F.collect_list(got)).alias("got"))
+    return r.select("batch", F.size(F.filter("want", lambda x: ~F.array_contains("got", x))).cast("long").alias("missing"), F.size(F.filter("got", lambda x: ~F.array_contains("want", x))).cast("long").alias("extra"))
+
+
+@query()
+def val_identical(spark, sf):
+    """Pairs of copies: each document against the first of its source with the same beginning."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", F.substring("text", 1, 60).alias("head"))
+    first = d.groupBy("source", "head").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f"))
+    p = d.join(first, ["source", "head"]).where(F.col("f.doc_id") < F.col("doc_id"))
+    p = p.select("doc_id", F.col("f.text").alias("source"), F.col("text").alias("target"))
+    return va.identical(p).select("doc_id", F.round("ratio", 4).alias("ratio"))
+
+
+@query()
+def qa_issues(spark, sf):
+    """Issues of all checks over adjacent turns."""
+    p = pairs(spark, sf).withColumn("segment_id", F.concat_ws(":", "conv_id", "turn"))
+    return va.issues(va.errors(p, ["idiot"], ["the"]))
+
+
+W = "regexp_extract_all({x}, '[A-Za-zÀ-ɏ]+|[0-9]+')"
+
+
+@query(rf"""WITH {PAIRS}, w AS (SELECT {KEYS}, list_concat(list_concat(regexp_extract_all(source, '\b\d{{4}}-\d{{2}}-\d{{2}}\b'), regexp_extract_all(source, '\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b')), list_concat(regexp_extract_all(source, '(?i)https?://[^\s]+'), regexp_extract_all(source, '\b\d+(?:[.,]\d+)?\b'))) AS inv, target,
+  greatest(1, len({W.format(x='source')})) AS a, list_transform({W.format(x='target')}, lambda x: lower(x)) AS g FROM bi),
+q AS (SELECT {KEYS}, CASE WHEN len(inv) = 0 THEN 1.0 ELSE len(list_filter(inv, lambda x: contains(lower(target), lower(x)))) / len(inv) END AS coverage,
+  CASE WHEN len(g) / a BETWEEN 0.55 AND 1.95 THEN 1.0 WHEN len(g) / a < 0.55 THEN greatest(0.0, 1 - (0.55 - len(g) / a) / 0.55) ELSE greatest(0.0, 1 - (len(g) / a - 1.95) / 1.95) END AS length_ok,
+  CASE WHEN len(g) <= 2 THEN 0.5 ELSE 0.5 * len(list_distinct(g)) / len(g) + 0.5 * len(list_distinct(list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]))) / (len(g) - 1) END AS variety FROM w)
+SELECT {KEYS}, round(CAST(coverage AS DOUBLE) + 1e-9, 4) AS coverage, round(CAST(length_ok AS DOUBLE) + 1e-9, 4) AS length_ok, round(CAST(variety AS DOUBLE) + 1e-9, 4) AS variety, round(CAST(0.45 * coverage + 0.15 + 0.15 * length_ok + 0.10 * variety AS DOUBLE) + 1e-9, 4) AS score FROM q""")
+def qe_scores(spark, sf):
+    q = va.quality(*_s())
+    return _cols(pairs(spark, sf), **{k: F.round(q[k] + 1e-9, 4) for k in ("coverage", "length_ok", "variety", "score")})

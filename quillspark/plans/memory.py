@@ -1 +1,191 @@
-"""Queries."""
+"""Queries over translation memory, terms and entities.
+
+Stand-ins: benchmark items are memory entries, lines of documents and turns are sources.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import embedding as em
+from ..functions import text as t
+from ..operators import lines as ln
+from ..operators import memory as tm
+from ..operators import vectors
+from ..session import table
+from .texts import LINES
+
+KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\[\[.*?\]\]', ' ', 'g'), '[^a-z0-9\sà-ÿ]', ' ', 'g'), '\s+', ' ', 'g'))"
+TOKS = "list_distinct(regexp_extract_all(" + KEY + ", '[a-zà-ÿ0-9]+'))"
+
+
+def _sides(spark, sf):
+    lines = ln.lines(table(spark, sf, "documents")).select(F.concat_ws(":", "doc_id", "line_no").alias("query_id"), F.col("line").alias("source"))
+    entries = table(spark, sf, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("source"))
+    return lines, entries
+
+
+SIDES = f"""{LINES}, q AS (SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR) AS query_id, {KEY.format(x="line")} AS k, {TOKS.format(x="line")} AS t FROM lines),
+e AS (SELECT item_id AS entry_id, {KEY.format(x="text")} AS k, {TOKS.format(x="text")} AS t FROM benchmark),
+j AS (SELECT query_id, entry_id, q.k = e.k AND q.k <> '' AS same, len(list_intersect(q.t, e.t)) / greatest(1, len(list_distinct(list_concat(q.t, e.t)))) AS jac FROM q, e)"""
+
+
+@query(f"WITH {SIDES} SELECT query_id, entry_id FROM j WHERE same")
+def tm_exact(spark, sf):
+    q, e = _sides(spark, sf)
+    q, e = q.select("query_id", t.memory_key("source").alias("k")).where("k <> ''"), e.select("entry_id", t.memory_key("source").alias("k"))
+    return q.join(e, "k").select("query_id", "entry_id")
+
+
+@query(f"WITH {SIDES} SELECT query_id, entry_id, round(jac, 6) AS jaccard FROM j WHERE jac >= 0.3")
+def jaccard_pairs(spark, sf):
+    q, e = _sides(spark, sf)
+    q, e = q.select("query_id", t.memory_tokens("source").alias("tokens")), e.select("entry_id", t.memory_tokens("source").alias("tokens"))
+    return tm.similar_tokens(q.where("size(tokens) > 0"), e.where("size(tokens) > 0"), 0.3).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"""WITH {SIDES}, h AS (SELECT query_id, entry_id, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS method, CASE WHEN same THEN 1.0 ELSE round(0.5 + 0.5 * jac, 4) END AS score FROM j WHERE same OR jac >= 0.3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE method WHEN 'exact' THEN 0 ELSE 1 END, score DESC, entry_id) AS position FROM h)
+SELECT query_id, entry_id, method, CAST(score AS DOUBLE) AS score, position FROM r WHERE position <= 5""")
+def tm_funnel_topk(spark, sf):
+    q, e = _sides(spark, sf)
+    return tm.funnel(q, e, fuzzy=0.3)
+
+
+@query()
+def tm_semantic(spark, sf):
+    """The nearest turns of each turn's role by embedded text."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "role", em.embed("text").alias("v"))
+    return vectors.nearest(c, "turn_id", "v", "role", 3).where(F.col("score") >= tm.SEMANTIC)
+
+
+GRAMS = "list_distinct(list_concat([p], CASE WHEN len(p) >= 2 THEN list_transform(range(1, len(p)), lambda i: substr(p, i, 2)) ELSE [] END, CASE WHEN len(p) >= 3 THEN list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3)) ELSE [] END))"
+
+
+@query(f"SELECT DISTINCT p AS token, len({GRAMS}) AS grams FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS p FROM part)")
+def token_grams(spark, sf):
+    p = table(spark, sf, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token")).distinct()
+    return p.select("token", F.size(t.character_grams("token")).cast("long").alias("grams"))
+
+
+@query(f"SELECT p_partkey, CAST(sum(len({GRAMS})) AS BIGINT) AS cells FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS p FROM part) GROUP BY p_partkey")
+def gram_cells(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
+    return p.groupBy("p_partkey").agg(F.sum(F.size(t.character_grams("token")).cast("long")).alias("cells"))
+
+
+@query()
+def fnv_embed(spark, sf):
+    """Embedded names: cells used, and the norm."""
+    p = table(spark, sf, "part").select("p_partkey", em.embed("p_name").alias("v"))
+    return p.select("p_partkey", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("cells"), F.round(F.sqrt(t.dot("v", "v")), 4).alias("norm"))
+
+
+SPACED = "trim(regexp_replace({x}, '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT {SPACED.format(x='text')} AS source, count(*) AS entries, min(doc_id) AS first_entry FROM documents GROUP BY {SPACED.format(x='text')} HAVING count(*) > 1")
+def tm_duplicates(spark, sf):
+    return tm.duplicates(table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("text").alias("source")))
+
+
+@query(f"SELECT source, count(*) AS targets, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT p_type AS source, lower({SPACED.format(x='p_name')}) AS target, count(*) AS n FROM part GROUP BY p_type, lower({SPACED.format(x='p_name')})) GROUP BY source HAVING count(*) > 1")
+def tm_contradictions(spark, sf):
+    return tm.contradictions(table(spark, sf, "part").select(F.col("p_type").alias("source"), F.col("p_name").alias("target")))
+
+
+#: adjacent turns as a bilingual pair
+PAIRS = "pairs AS (SELECT conv_id, turn, text AS source, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations), bi AS (SELECT * FROM pairs WHERE target IS NOT NULL)"
+
+
+def pairs(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("source"), F.lead("text").over(w).alias("target")).where("target IS NOT NULL")
+
+
+@query(f"""WITH {PAIRS} SELECT conv_id, turn, len(list_filter(regexp_extract_all(source, '\\[[^\\]]+\\]'), lambda x: NOT contains(target, x))) + len(list_filter(regexp_extract_all(target, '\\[[^\\]]+\\]'), lambda x: NOT contains(source, x))) = 0 AS aligned,
+ len(source) = 0 OR (len(target) / greatest(1, len(source)) >= 0.2 AND len(target) / greatest(1, len(source)) <= 5.0) AS sane FROM bi""")
+def tm_alignment(spark, sf):
+    return pairs(spark, sf).select("conv_id", "turn", tm.tags_survive("source", "target").alias("aligned"), tm.length_sane("source", "target").alias("sane"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def tm_obsolete(spark, sf):
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT round(count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) / count(*), 6) AS reuse_rate, count(*) AS approved FROM documents WHERE lang = 'en'")
+def tm_reuse_rate(spark, sf):
+    d = table(spark, sf, "documents").where("lang = 'en'")
+    linked = table(spark, sf, "labels").select("doc_id").distinct().withColumn("linked", F.lit(1))
+    n = F.count("*")
+    return d.join(linked, "doc_id", "left").agg(F.when(n == 0, 0.0).otherwise(F.round(F.count("linked") / n, 6)).alias("reuse_rate"), n.alias("approved"))
+
+
+#: a termbase for the stand-ins: source, target, type, preferred, status
+TERMS = [("the", "il", "CONCEPT_TERM", True, "approved"), ("thing", "cosa", "OBJECT_ARTIFACT", True, "proposed"), ("you", "tu", "PERSON", False, "approved"), ("der", "il", "CONCEPT_TERM", True, "verified"), ("les", "i", "CONCEPT_TERM", False, "proposed"), ("que", "che", "CONCEPT_TERM", True, "approved"), ("ation", "azione", "EVENT", True, "approved"), ("block-2", "blocco-2", "LOCATION", True, "approved"), ("block-10", "blocco-10", "LOCATION", True, "approved"), ("", "vuoto", "PERSON", True, "approved")]
+TERMS_SQL = "terms(source_term, target_term, term_type, preferred, status) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()}, '{e}')" for a, b, c, d, e in TERMS) + ")"
+
+
+def terms(spark):
+    return spark.createDataFrame(TERMS, "source_term string, target_term string, term_type string, preferred boolean, status string")
+
+
+WORDSET = "list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+'))"
+
+
+@query(f"""WITH {TERMS_SQL}, d AS (SELECT doc_id, lower(text) AS low, {WORDSET} AS words FROM documents),
+h AS (SELECT doc_id, source_term, target_term FROM d, terms WHERE (preferred OR status = 'approved') AND source_term <> '' AND (len(list_intersect(words, regexp_extract_all(lower(source_term), '[a-zà-ÿ0-9]+'))) > 0 OR contains(low, trim(lower(source_term)))))
+SELECT doc_id, source_term, position FROM (SELECT doc_id, source_term, row_number() OVER (PARTITION BY doc_id ORDER BY source_term) AS position FROM h) WHERE position <= 20""")
+def term_select_topk(spark, sf):
+    from ..operators import termbase as tb
+
+    return tb.select_terms(table(spark, sf, "documents").select("doc_id", "text"), terms(spark), "doc_id").select("doc_id", "source_term", "position")
+
+
+@query(f"""WITH {TERMS_SQL} SELECT doc_id, source_term, contains(lower(text), lower(source_term)) AS inside, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || replace(lower(source_term), '-', '\\-') || '([^\\p{{L}}\\p{{N}}_]|$)') AS as_word,
+ regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || replace(CASE WHEN len(source_term) > 3 AND source_term[-1] IN ('a', 'e', 'i', 'o', 'u') THEN source_term[:-2] ELSE source_term END, '-', '\\-')) AS as_stem
+FROM documents, terms WHERE source_term <> ''""")
+def mention_join(spark, sf):
+    from ..operators import termbase as tb
+
+    return tb.mentions(table(spark, sf, "documents").select("doc_id", "text"), terms(spark).where("source_term <> ''"), "doc_id")
+
+
+@query("""WITH t(row_no, source_term, term_type, preferred, gender, status) AS (VALUES (1, 'Rome', 'LOCATION', 'yes', '', ''), (2, '', 'PERSON', '1', '', 'approved'), (3, 'x', 'PLACE', 'no', '', ''), (4, 'y', 'PERSON', 'maybe', '', ''), (5, 'z', 'PERSON', '0', 'male', ''), (6, 'w', 'EVENT', 'true', 'feminine', 'done'))
+SELECT CAST(row_no AS BIGINT) AS row_no, CASE row_no WHEN 2 THEN 'source_term is required' WHEN 3 THEN 'unknown term_type' WHEN 4 THEN 'invalid boolean' WHEN 5 THEN 'invalid gender' WHEN 6 THEN 'unknown status' END AS error FROM t""")
+def term_validate(spark, sf):
+    from ..operators import termbase as tb
+
+    rows = [(1, "Rome", "LOCATION", "yes", "", ""), (2, "", "PERSON", "1", "", "approved"), (3, "x", "PLACE", "no", "", ""), (4, "y", "PERSON", "maybe", "", ""), (5, "z", "PERSON", "0", "male", ""), (6, "w", "EVENT", "true", "feminine", "done")]
+    df = spark.createDataFrame(rows, "row_no long, source_term string, term_type string, preferred string, grammatical_gender_target string, status string").withColumn("grammatical_number", F.lit(None).cast("string"))
+    return df.select("row_no", tb.row_error().alias("error"))
+
+
+@query("""WITH m AS (SELECT user_id AS coref, event_type, value, event_id FROM events), g AS (SELECT coref, avg(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.7 WHEN 'purchase' THEN 0.4 ELSE 0.5 END) AS raw, count(*) AS n FROM m GROUP BY coref)
+SELECT coref, n AS mentions, round(least(1.0, raw * (n / (n + 2.0)) + 0.3 * (2.0 / (n + 2.0))) + 1e-9, 3) AS confidence FROM g""")
+def mention_conf(spark, sf):
+    from ..operators import entities as en
+
+    kind = F.when(F.col("event_type") == "click", "PROP").when(F.col("event_type") == "view", "NOM").when(F.col("event_type") == "purchase", "PRON").otherwise("OTHER")
+    return en.confidence(table(spark, sf, "events").select(F.col("user_id").alias("coref"), kind.alias("prop")))
+
+
+@query("""WITH s AS (SELECT user_id AS coref, event_type AS pron, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY user_id, event_type),
+r AS (SELECT *, row_number() OVER (PARTITION BY coref ORDER BY p DESC, pron) AS k FROM s)
+SELECT a.coref, round(a.p, 3) AS p, CASE WHEN a.p - coalesce(b.p, 0) < 0.05 THEN 'unknown' ELSE a.pron END AS gender FROM r a LEFT JOIN r b ON a.coref = b.coref AND b.k = 2 WHERE a.k = 1""")
+def gender_margin(spark, sf):
+    from ..operators import entities as en
+
+    n = table(spark, sf, "events").groupBy(F.col("user_id").alias("coref"), F.col("event_type").alias("pron")).agg(F.count("*").alias("n"))
+    return en.gender(n)
+
+
+@query(r"""WITH c AS (SELECT p_partkey, p_name, p_size, trim(regexp_replace(regexp_replace(lower(trim(p_name)), '^(the|a|an)\s+', ''), '[^0-9a-zÀ-ɏ]+', ' ', 'g')) AS k FROM part)
+SELECT k AS name_key, arg_max(p_name, p_size * 1000000 - p_partkey) AS canonical, CAST(sum(p_size) AS BIGINT) AS mentions, count(*) AS clusters FROM c GROUP BY k""")
+def cluster_dedupe(spark, sf):
+    from ..operators import entities as en
+
+    return en.merged_clusters(table(spark, sf, "part").select(F.col("p_partkey").alias("coref"), F.col("p_name").alias("canonical"), F.col("p_size").cast("long").alias("mentions")))
