@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textnum import release
+
 _LOADED: dict[tuple[str, str], Codec] = {}
 
 
@@ -35,7 +37,7 @@ class Codec:
     """Encodes pieces by merge replay. Keeps the encoded pieces of two generations of `keep` at most:
     what is used again moves on to the younger, so common pieces are replayed once."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 250_000):
         import regex
 
         self.ranks, self.split, self.keep = ranks, regex.compile(pattern).findall, keep
@@ -53,7 +55,7 @@ class Codec:
         key = left * len(self.tokens) + right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
@@ -216,7 +218,9 @@ def _encoded(docs, path, pattern, text_col, new: dict, row) -> DataFrame:
             texts = [t or "" for t in b.column(at).to_pylist()]
             made = [row(c, t, ids) for t, ids in zip(texts, c.encode(texts), strict=True)]
             cols = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(new.values())]
+            del texts, made
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), *cols], names=[*(f.name for f in keep), *new])
+            release()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"`{k}` {kinds[v]}" for k, v in new.items())]))
 

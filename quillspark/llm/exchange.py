@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textnum import release
+
 CHUNK_BYTES = 8 << 20
 ASK = "bucket int, chunk int, kind int, n int, data binary"
 ANSWER = "chunk int, kind int, bucket int, data binary"
@@ -106,11 +108,17 @@ def spread(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndar
     return out
 
 
+def released(table: pa.Table) -> pa.Table:
+    """The table, after what making it took was given back."""
+    release()
+    return table
+
+
 def chunk_asks(docs: DataFrame, f) -> DataFrame:
     """f(chunk number, documents of the chunk as a table) -> rows of asks()."""
 
     def run(key, table):
-        return ask_table(f(key[0].as_py(), table))
+        return released(ask_table(f(key[0].as_py(), table)))
 
     return docs.groupBy("chunk").applyInArrow(run, ASK)
 
@@ -119,7 +127,7 @@ def bucket_answers(asking: DataFrame, f) -> DataFrame:
     """f(bucket, rows as a table) -> rows (chunk, kind, bucket, data)."""
 
     def run(key, table):
-        return answer_table(f(key[0].as_py(), table))
+        return released(answer_table(f(key[0].as_py(), table)))
 
     return asking.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -128,7 +136,7 @@ def with_answers(docs: DataFrame, answered: DataFrame, f, schema: str) -> DataFr
     """f(chunk number, documents of the chunk, its answers) -> table."""
 
     def run(key, left, right):
-        return f(key[0].as_py(), left, right)
+        return released(f(key[0].as_py(), left, right))
 
     return docs.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from . import textnum as tn
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: fixed values: the end token and the beginning that no text can hold
 END, BEGIN = tn.U64(0x9D39247E33776D41), tn.U64(0x2AF7398005AAA5C7)
 _ID = 5  # bytes of a word's hash in pairs
@@ -266,9 +266,9 @@ def scored(docs: DataFrame, out: Column | None = None) -> DataFrame:
     count = ex.chunk_count(docs, CHUNK_BYTES)
     chunks = ex.chunked(docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("learn")), count)
     pairs = ex.chunk_asks(chunks, lambda c, t: _ask_pairs(c, t, count))
-    parts = pairs.groupBy("bucket").applyInArrow(lambda key, t: ex.ask_table(_parts_of_words(key[0].as_py(), t, count)), ex.ASK)
+    parts = pairs.groupBy("bucket").applyInArrow(lambda key, t: ex.released(ex.ask_table(_parts_of_words(key[0].as_py(), t, count))), ex.ASK)
     words = ex.chunk_asks(chunks, lambda c, t: _ask_words(c, t, count)).unionByName(parts)
-    sums = words.groupBy("bucket").applyInArrow(lambda key, t: _totals(key[0].as_py(), t), ", ".join(f"{k} bigint" for k in _TOTALS))
+    sums = words.groupBy("bucket").applyInArrow(lambda key, t: ex.released(_totals(key[0].as_py(), t)), ", ".join(f"{k} bigint" for k in _TOTALS))
     totals = sums.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _TOTALS])
     # the one row of totals, to every chunk
     totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("chunk"), F.lit(TOTALS).alias("kind"), F.lit(0).alias("bucket"), F.to_json(F.array(*_TOTALS)).cast("binary").alias("data"))

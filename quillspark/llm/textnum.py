@@ -6,7 +6,9 @@ Python object is made for a word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +149,17 @@ def cover(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     np.add.at(mark, starts, 1)
     np.add.at(mark, np.minimum(starts + size, n), -1)
     return np.cumsum(mark[:-1]) > 0
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside those of later ones."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
