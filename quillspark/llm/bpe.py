@@ -63,8 +63,10 @@ class Codec:
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
+        if not len(raw):
+            return [[] for _ in pieces]
         ids = self.single[raw]
-        if len(ids) and ids.min() < 0:
+        if ids.min() < 0:
             raise ValueError("the vocabulary lacks a single byte")
         n = len(raw)
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -73,16 +75,16 @@ class Codec:
         last = np.zeros(n, dtype=bool)
         last[ends[sizes > 0] - 1] = True
         after = np.where(last, -1, np.arange(1, n + 1)).tolist()
-        before = np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)).tolist() if n else []
+        before = np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)).tolist()
         token = ids.tolist()
         pair_rank = self.pair_rank
         # the inverted index of the pairs of bytes
-        found = np.where(last[:-1], -1, self.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]]) if n else ids
+        found = np.where(last[:-1], -1, self.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]])
         at = np.flatnonzero(found >= 0)
         at = at[np.argsort(found[at], kind="stable")]
         begins = np.flatnonzero(np.diff(found[at], prepend=-1)).tolist()
-        places_of = at.tolist()
-        where: dict[int, list[int]] = {int(found[places_of[x]]): places_of[x:y] for x, y in zip(begins, [*begins[1:], len(at)], strict=True)}
+        ends_of = [*begins[1:], len(at)] if begins else []
+        where: dict[int, list[int]] = {int(found[at[x]]): at[x:y].tolist() for x, y in zip(begins, ends_of, strict=True)}
         order = list(where)
         heapq.heapify(order)
         known, size = self.pairs.get, len(self.tokens)

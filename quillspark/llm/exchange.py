@@ -1,6 +1,6 @@
 """Ask-and-answer rounds between chunks of documents and buckets of hashes.
 
-A chunk is the documents of one residue of a hash of their id, about 8 MB of text. It asks
+A chunk is the documents of one residue of a hash of id and text, about 8 MB of text. It asks
 about the distinct hashes it holds: sorted, packed, one row for each bucket (a range of
 hash values). A bucket answers each chunk with a packed array in the order of its keys,
 and the chunk, which can make the same sorted keys again, reads the answers by position.
@@ -36,8 +36,8 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 
 def chunked(docs: DataFrame, count: int) -> DataFrame:
-    """docs with a column chunk in front."""
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(count)).cast("int").alias("chunk"), *[F.col(f"`{c}`") for c in docs.columns if c != "chunk"])
+    """docs with a column chunk in front, by id and text, so that rows of one id or none spread as well."""
+    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(count)).cast("int").alias("chunk"), *[F.col(f"`{c}`") for c in docs.columns if c != "chunk"])
 
 
 def planes(values: np.ndarray, size: int) -> bytes:

@@ -166,6 +166,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, char_distance, word_distance, kept of every row."""
     refs = references(docs) if refs is None else refs
+    held = [x for x in LANGS if refs[x][0].any()] or LANGS  # languages without documents are no reference
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -175,9 +176,9 @@ def rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None
                 c = base_counts(buf, offs)
                 failed = base_failed(c)
                 chars, words = histograms(buf, offs)
-                by_word = np.array([distance(words, refs[x][1]) for x in LANGS])
+                by_word = np.array([distance(words, refs[x][1]) for x in held])
                 like = by_word.argmin(axis=0)
-                by_char = np.array([distance(chars, refs[x][0]) for x in LANGS])
+                by_char = np.array([distance(chars, refs[x][0]) for x in held])
                 rows = np.arange(len(failed))
                 cd, wd = by_char[like, rows], by_word[like, rows]
                 bad = ((chars.sum(axis=1) >= MIN_CHARS) & (cd > MAX_CHAR_DISTANCE)) | ((words.sum(axis=1) >= MIN_COMMON_WORDS) & (wd > MAX_WORD_DISTANCE))
