@@ -86,20 +86,20 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int):
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
     """docs' columns plus n_words, hits (array of [start, end) word spans, disjoint) and items (sorted ids).
 
-    One pass over docs for each block of benchmark text (4 MB by default); a further pass
+    One pass over docs for each block of benchmark text (1 MB by default); a further pass
     extends the former's spans and items.
     """
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(*[F.col(f"`{c}`") for c in names])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     first = True
-    for block in [*_item_blocks(benchmark, block_bytes)] or [[]]:
+    for block in _item_blocks(benchmark, block_bytes):
         out = _searched(out, names, kept, patterns_of(block), first)
         first = False
-    return out
+    return _searched(out, names, kept, {}, True) if first else out
 
 
 def _searched(df: DataFrame, names: list[str], kept: str, patterns: dict, first: bool) -> DataFrame:
