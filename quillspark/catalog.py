@@ -1,4 +1,4 @@
-"""All queries over the reference's operators, by name, with the SQL that states the same."""
+"""All queries by name, with the SQL that states the same."""
 
 from __future__ import annotations
 
