@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textnum as tn
+from .textnum import release
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: fixed values: the end token and the beginning that no text can hold
 END, BEGIN = tn.U64(0x9D39247E33776D41), tn.U64(0x2AF7398005AAA5C7)
 _ID = 5  # bytes of a word's hash in pairs
+_SUM = 6  # bytes of a count over all chunks
 _LOW = tn.U64((1 << 64) - (1 << 8 * (8 - _ID)))
 PAIRS, WORDS, PARTS, COUNTS, TOTALS = range(5)  # kinds of rows
 
@@ -59,9 +61,9 @@ class Shard:
         with os.fdopen(handle, "wb") as f:
             f.write(np.ascontiguousarray(keys, dtype="<u8").tobytes())
             for c in columns:
-                f.write(np.ascontiguousarray(c, dtype="<u4").tobytes())
+                f.write(np.ascontiguousarray(c, dtype="<u8").tobytes())
         self.keys = np.memmap(name, dtype="<u8", mode="r", shape=(self.n,))
-        self.columns = [np.memmap(name, dtype="<u4", mode="r", offset=8 * self.n + 4 * self.n * i, shape=(self.n,)) for i in range(len(columns))]
+        self.columns = [np.memmap(name, dtype="<u8", mode="r", offset=8 * self.n * (i + 1), shape=(self.n,)) for i in range(len(columns))]
         os.unlink(name)  # the mappings keep it until they go
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -90,6 +92,7 @@ class _Chunk:
             hashes.append(tn.SubstringHash(low)(s, e))
             rows.append(r + lo)
         words, rows = np.concatenate(hashes), np.concatenate(rows)
+        del hashes
         first = tn.first_of_rows(rows, n)
         self.bounds = first + np.arange(n + 1)
         self.token = np.full(len(words) + n, END, dtype=tn.U64)
@@ -97,7 +100,7 @@ class _Chunk:
         self.before = np.empty_like(self.token)
         self.before[1:] = self.token[:-1]
         self.before[self.bounds[:-1]] = BEGIN
-        learned = table["learn"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
+        learned = table["learn"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int32) if n else np.zeros(0, np.int32)
         self.learn = np.repeat(learned, np.diff(self.bounds))
 
     def words(self):
@@ -117,11 +120,12 @@ class _Chunk:
         keys, v, w = h[one], self.before[one] & _LOW, self.token[one] & _LOW
         count = np.add.reduceat(self.learn[order], starts) if len(starts) else np.zeros(0, np.int64)
         bounds = ex.bucket_bounds(keys, buckets)
+        del h
         # inside a bucket by first word: its bytes then compress
         inner = np.concatenate([np.zeros(0, np.int64), *(a + np.lexsort((keys[a:z], v[a:z])) for a, z in zip(bounds[:-1], bounds[1:], strict=True) if z > a)])
         back = np.empty(len(inner), dtype=np.int64)
         back[inner] = np.arange(len(inner))
-        return v[inner], w[inner], count[inner], bounds, back[ex.spread(order, starts, np.arange(len(keys)))]
+        return v[inner], w[inner], count[inner], bounds, back[ex.spread(order, starts, np.arange(len(keys), dtype=np.int32))].astype(np.int32)
 
 
 def _ask_pairs(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
@@ -151,7 +155,7 @@ class _Pairs:
 
 def _answer_pairs(bucket: int, table: pa.Table) -> list[tuple]:
     p = _Pairs(table)
-    return [(c, PAIRS, bucket, ex.small(p.shard.find(_pair_hash(v, w))[0], 4)) for c, _, v, w, _ in p.parts]
+    return [(c, PAIRS, bucket, ex.small(p.shard.find(_pair_hash(v, w))[0], _SUM)) for c, _, v, w, _ in p.parts]
 
 
 def _parts_of_words(bucket: int, table: pa.Table, buckets: int) -> list[tuple]:
@@ -165,7 +169,7 @@ def _parts_of_words(bucket: int, table: pa.Table, buckets: int) -> list[tuple]:
     order, starts = ex.groups(word)
     n = np.add.reduceat(n[:, order], starts, axis=1) if len(starts) else n
     keys = word[order][starts]
-    rows = ex.asks(bucket, PARTS, ex.bucket_bounds(keys, buckets), lambda a, z: ex.planes(keys[a:z], _ID) + b"".join(ex.small(x[a:z], 4) for x in n))
+    rows = ex.asks(bucket, PARTS, ex.bucket_bounds(keys, buckets), lambda a, z: ex.planes(keys[a:z], _ID) + b"".join(ex.small(x[a:z], _SUM) for x in n))
     return [*rows, (0, bucket, COUNTS, 1, np.array([(p.count == k).sum() for k in (1, 2, 3, 4)], dtype="<i8").tobytes())]
 
 
@@ -180,7 +184,7 @@ class _Words:
         count = np.add.reduceat(count[order], starts) if len(starts) else count
         self.count = count[count > 0]
         self.shard = Shard(keys[order][starts][count > 0], [self.count])
-        found = [(ex.from_planes(d, n, _ID), [ex.from_small(d[(_ID + 4 * k) * n :], n, 4).astype(np.int64) for k in range(4)]) for _, n, d in ex.asked(table, PARTS)]
+        found = [(ex.from_planes(d, n, _ID), [ex.from_small(d[(_ID + _SUM * k) * n :], n, _SUM).astype(np.int64) for k in range(4)]) for _, n, d in ex.asked(table, PARTS)]
         keys = np.concatenate([np.zeros(0, tn.U64), *(f[0] for f in found)])
         n = np.concatenate([np.zeros((4, 0), np.int64), *(np.array(f[1]) for f in found)], axis=1)
         order, starts = ex.groups(keys)
@@ -191,7 +195,7 @@ class _Words:
 
 def _answer_words(bucket: int, table: pa.Table) -> list[tuple]:
     b = _Words(table)
-    return [(c, WORDS, bucket, b"".join(ex.small(x, 4) for x in (*b.shard.find(keys), *b.smoothing.find(keys & _LOW)))) for c, _, keys, _ in b.parts]
+    return [(c, WORDS, bucket, b"".join(ex.small(x, _SUM) for x in (*b.shard.find(keys), *b.smoothing.find(keys & _LOW)))) for c, _, keys, _ in b.parts]
 
 
 _TOTALS = ["tokens", "distinct", "follows", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "more"]
@@ -229,10 +233,14 @@ def _scores(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not table.num_rows:  # totals for a chunk without documents
         return _result(table["doc_id"], table["held_out"], [[]] * 5)
     c = _Chunk(table)
-    _, _, _, _, pair_place = c.pairs(buckets)
+    pair_place = c.pairs(buckets)[-1]
+    release()
+    pair = np.concatenate([np.zeros(0, np.int64), *(ex.from_small(d, len(d) // _SUM, _SUM).astype(np.int64) for d in _each(answers, PAIRS))])[pair_place]
+    del pair_place
     keys, _, place, begin = c.words()
-    pair = np.concatenate([np.zeros(0, np.int64), *(ex.from_small(d, len(d) // 4, 4).astype(np.int64) for d in _each(answers, PAIRS))])[pair_place]
-    stats = np.concatenate([[ex.from_small(d[len(d) // 5 * k :], len(d) // 20, 4).astype(np.int64) for k in range(5)] for d in _each(answers, WORDS)], axis=1)
+    c.token = c.before = c.learn = None
+    release()
+    stats = np.concatenate([[ex.from_small(d[len(d) // 5 * k :], len(d) // 5 // _SUM, _SUM).astype(np.int64) for k in range(5)] for d in _each(answers, WORDS)], axis=1)
     t = dict(zip(_TOTALS, map(int, next(_each(answers, TOTALS)).decode().strip("[]").split(",")), strict=True))
     count, follows = stats[0], stats[4]
     as_context = count.copy()

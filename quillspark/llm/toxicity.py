@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .storage import durable
 
 #: fixed values: bytes of the word beginnings that are features beside whole words
 STEMS = (4, 5, 6)
@@ -115,44 +116,55 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     toxic = labels.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
     others = docs.where(learn_from).select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled)
 
+    texts = docs.select("doc_id", "text")
+    # both lists of ids are bounded by their limits; the sample is written down, so what follows reads it alone
+    sample = durable(texts.join(F.broadcast(toxic), "doc_id").select(F.lit(True).alias("toxic"), "text").union(texts.join(F.broadcast(others), "doc_id").select(F.lit(False), "text")))
+
     def hashes(batches):
         for b in batches:
-            out = []
             for _, _, buf, offs in tn.chunks(b.column(0)):
                 every = list(features(buf, offs))
                 r = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in every)])
                 h = np.concatenate([np.zeros(0, tn.U64), *(x[1] for x in every)])
-                out += [np.unique(h[r == k]).tobytes() for k in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["h"])
-
-    texts = docs.select("doc_id", "text")
-    marked = [np.frombuffer(r.h, np.uint64) for r in texts.join(F.broadcast(toxic), "doc_id").select("text").mapInArrow(hashes, "h binary").collect()]
-    keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *marked]), return_counts=True)
-    keys, n = keys[n >= least], n[n >= least]
-    sieve = Model(keys, n, 0.0).sieve()
-    shipped = docs.sparkSession.sparkContext.broadcast((keys, sieve))
-
-    def places(batches):
-        for b in batches:
-            out = []
-            for _, _, buf, offs in tn.chunks(b.column(0)):
-                r, c = found(buf, offs, *shipped.value)
-                out += [x.astype(np.int32).tobytes() for x in np.split(c, np.searchsorted(r, np.arange(1, len(offs) - 1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["p"])
-
-    plain = [np.frombuffer(r.p, np.int32) for r in texts.join(F.broadcast(others), "doc_id").select("text").mapInArrow(places, "p binary").collect()]
-    in_plain = np.bincount(np.concatenate([np.zeros(0, np.int32), *plain]), minlength=len(keys))
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], names=["h"])
+
+    counted = sample.where("toxic").select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).toPandas()
+    keys = counted["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, n = keys[order], counted["n"].to_numpy(np.int64)[order]
+
+    def places(keys):
+        """DataFrame of (toxic, the indexes of the keys that a text holds)."""
+        shipped = docs.sparkSession.sparkContext.broadcast((keys, Model(keys, keys, 0.0).sieve()))
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for _, _, buf, offs in tn.chunks(b.column(1)):
+                    r, c = found(buf, offs, *shipped.value)
+                    out += [x.astype(np.int32).tolist() for x in np.split(c, np.searchsorted(r, np.arange(1, len(offs) - 1)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "places"])
+
+        return sample.mapInArrow(run, "toxic boolean, places array<int>")
+
+    n_toxic, n_plain = (sample.where(c).count() for c in ("toxic", "not toxic"))
+    in_plain = np.zeros(len(keys), dtype=np.int64)
+    for r in places(keys).where("not toxic").select(F.explode("places").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect():
+        in_plain[r.k] = r.n
     # share of the texts with a feature that are toxic, by the prior; smoothed by half a text
-    telling = prior * (n / max(len(marked), 1)) / ((in_plain + 0.5) / max(len(plain), 1)) >= 0.3
+    telling = prior * (n / max(n_toxic, 1)) / ((in_plain + 0.5) / max(n_plain, 1)) >= 0.3
     # and more toxic texts with it than chance gives
-    chance = len(marked) * in_plain / max(len(plain), 1)
+    chance = n_toxic * in_plain / max(n_plain, 1)
     telling &= n >= chance + 4 * np.sqrt(chance + 0.5)
     keys = keys[telling]
-    new = np.cumsum(telling) - 1
-    at = [np.searchsorted(keys, np.intersect1d(h, keys)) for h in marked] + [new[p[telling[p]]] for p in plain]
+    found_in = sorted((not r.toxic, r.places) for r in places(keys).collect())
+    at = [p for _, p in found_in]
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
-    w, b = fit(rows, cols, np.arange(len(at)) < len(marked), len(keys), prior)
+    w, b = fit(rows, cols, np.array([not plain for plain, _ in found_in], dtype=bool), len(keys), prior)
     return Model(keys, w, b)
 
 
