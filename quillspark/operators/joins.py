@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,12 +24,20 @@ def range_join(points: DataFrame, spans: DataFrame, key: list[str], point: str,
     return joined.select("p.*", *[F.col(f"s.{c}") for c in spans.columns if c not in key]).drop("_bin")
 
 
-def as_of(points: DataFrame, events: DataFrame, key: list[str], at: str, since: str, value: str) -> DataFrame:
-    """points with the value of the last event at or before them, null where none: one sort of both by key and time."""
-    from pyspark.sql import Window
+def as_of(points: DataFrame, events: DataFrame, key: list[str], at: str, since: str, value: str, bin_size: int) -> DataFrame:
+    """points with the value of the last event of the key at or before them, null where none.
 
+    Points and events meet by (key, bin), so a key that holds most rows is spread; what a bin
+    inherits comes from a running last value over the bins of a key, a row for each.
+    """
     cols = points.columns
-    e = events.select(*key, F.col(since).alias(at), F.col(value).alias("_v"), F.lit(0).alias("_kind"))
-    both = points.withColumn("_kind", F.lit(1)).unionByName(e, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").select(*cols, value)
+    e = events.select(*key, F.col(since).alias(at), F.col(value).alias("_v")).withColumn("_bin", F.floor(F.col(at) / bin_size))
+    p = points.withColumn("_bin", F.floor(F.col(at) / bin_size))
+    ends = e.groupBy(*key, "_bin").agg(F.max_by("_v", at).alias("_last"))
+    bins = p.select(*key, "_bin").distinct().join(ends, [*key, "_bin"], "full")
+    earlier = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*key, "_bin", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    both = p.withColumn("_kind", F.lit(1)).unionByName(e.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*key, "_bin").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_near", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
+    return near.join(bins, [*key, "_bin"]).select(*cols, F.coalesce("_near", "_carried").alias(value))

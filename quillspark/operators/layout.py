@@ -51,9 +51,9 @@ def closed_ranges(nodes: DataFrame, keys: list[str], start: str, last: Column) -
 
 def offsets(paged: DataFrame) -> DataFrame:
     """source, page_number, doc_id, start_char and end_char of the pages in a book joined by line feeds."""
-    w = Window.partitionBy("source").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("text").cast("long") + 1).over(w)
-    return paged.select("source", "page_number", "doc_id", (end - F.length("text") - 1).alias("start_char"), (end - 1).alias("end_char"))
+    size = F.length("text").cast("long")
+    ends = rk.running_total(paged.select("source", "page_number", "doc_id", size.alias("size")), ["source"], [F.col("page_number")], F.col("size") + 1, "end")
+    return ends.select("source", "page_number", "doc_id", (F.col("end") - F.col("size") - 1).alias("start_char"), (F.col("end") - 1).alias("end_char"))
 
 
 def toc_entries(paged: DataFrame, first: int, least: int) -> DataFrame:

@@ -9,20 +9,21 @@ from ..functions import text as t
 from .durable import durable
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
-    """df with a row number from 1 by keys (none: over all rows) in the given order.
+def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the running sum of value by keys (none: over all rows) in the given order, the row itself included.
 
-    The rows are dealt out by range of keys and order, so no task holds a whole group: each
-    numbers its own rows, and adds how many of the group the tasks before it hold.
+    The rows are dealt out by range of keys and order, so no task holds a whole group: each adds
+    up its own rows, and what the group has in the tasks before it. Rows of equal keys and order
+    share a task; make the order unique for a total that doesn't depend on chance.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    dealt = df.withColumn("_value", value).repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     dealt = durable(dealt.withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_rows"))
+    sums = dealt.groupBy("_part", *keys).agg(F.sum("_value").alias("_sum"))
     # a row for each task, and for each key that it begins
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    offsets = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     left, right = dealt.withColumn("_own", own).alias("l"), offsets.alias("r")
     same = F.col("l._part") == F.col("r._part")
     for k in keys:
@@ -30,6 +31,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n
     return left.join(right, same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_own") + F.col("_before")).alias(name))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """df with a row number from 1 by keys (none: over all rows) in the given order, as a running total of ones."""
+    return running_total(df, keys, order, F.lit(1).cast("long"), name)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The last row of each key: an aggregation, so a hot key is reduced before it is dealt."""
     best = F.max_by(F.struct(*df.columns), F.struct(*order))

@@ -81,7 +81,7 @@ def uncovered_pages(spark, sf):
 def scene_asof(spark, sf):
     p = lo.pages(table(spark, sf, "documents"))
     nodes = p.where(F.col("text").rlike("^[AEIOU]")).select("source", F.col("page_number").alias("start_page"), F.col("page_number").alias("chapter"))
-    return jn.as_of(p.select("doc_id", "source", "page_number"), nodes, ["source"], "page_number", "start_page", "chapter").select("doc_id", "chapter")
+    return jn.as_of(p.select("doc_id", "source", "page_number"), nodes, ["source"], "page_number", "start_page", "chapter", 16).select("doc_id", "chapter")
 
 
 @query("""WITH q AS (SELECT l_orderkey, min(l_linenumber) AS a, max(l_linenumber) AS z FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)

@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.operators import entities, joins, layout, memory, packing, ranking, reimport, termbase, validate, vectors
-from quillspark.sources import interchange
 from quillspark.operators.durable import new_path
+from quillspark.sources import interchange
 
 
 def rows(df, *cols):
@@ -38,6 +38,17 @@ def test_range_join(spark):
     assert len(left) == len(want) + len(points) - len(inside)
 
 
+def test_as_of(spark):
+    r = random.Random(9)
+    events = [(r.choice("ab"), x, x) for x in r.sample(range(300), 20)]
+    points = [(r.choice("abc"), r.randrange(320), n) for n in range(150)]
+    p, e = spark.createDataFrame(points, "k string, at int, p int"), spark.createDataFrame(events, "k string, since int, v int")
+    want = sorted((n, max((v for g, s, v in events if g == k and s <= at), default=-1)) for k, at, n in points)
+    for size in (1, 16, 1000):
+        got = joins.as_of(p, e, ["k"], "at", "since", "v", size)
+        assert sorted((x.p, -1 if x.v is None else x.v) for x in got.collect()) == want
+
+
 def test_packing_loses_nothing(spark):
     r = random.Random(3)
     data = [(k, n, r.choice([1, 5, 9, 40])) for k in range(5) for n in range(1, r.randint(2, 60))]
