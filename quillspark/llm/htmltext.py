@@ -31,7 +31,7 @@ MAIN = {"article", "main"}
 LASTING = set("nav footer form aside button menu dialog fieldset".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header\w*|masthead|cookie\w*|consent|gdpr|"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|ad(?:box|slot|unit|block|space|area|wrap|zone)\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header\w*|masthead|cookie\w*|consent|gdpr|"
     r"notice\w*|notification\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|search\w*|copyright|legal|disclaimer|tags|tagcloud|skip)(?:$|[\s_-])", re.I
 )
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comment\w*|respond|disqus\w*|replies|reply|discussion|user-reviews?|feedback)(?:$|[\s_-])", re.I)
@@ -39,6 +39,7 @@ GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-body|entry|content
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_HUMP = re.compile(r"([a-z0-9])([A-Z])")
 _SILENT_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT}
 
 NEUTRAL, GOOD, BAD = 0, 1, 2
@@ -57,7 +58,7 @@ class Block:
 def _mark(tag: str, attrs: str) -> tuple[int, bool]:
     """(place that an element gives its text, whether nothing inside can change it)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
+    names = _HUMP.sub(r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
     if tag in LASTING or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return BAD, True
     if names.strip() and COMMENT_NAMES.search(names):
@@ -187,6 +188,13 @@ LABELLED = """
   6 0    1 1    8 .9   1 1 0 1
   2 0   12 .8   3 .6   1 0 0 1
   4 .2   3 1    9 1    1 0 0 1
+ 20 0    9 1   15 0    1 0 0 1
+ 12 0    5 .95  0 0    1 0 0 1
+  4 0    7 1    6 0    1 0 0 1
+ 60 0    4 1   50 0    1 0 0 1
+ 50 0    6 1   40 0    0 0 0 1
+ 70 .02  5 1   30 0    0 0 0 1
+ 30 0    4 1    0 0    0 0 0 1
  40 0   10 0   50 0    0 0 0 1
  75 .02 40 0   80 0    0 0 0 1
  18 0   60 0   30 0    0 0 0 1
@@ -208,6 +216,10 @@ LABELLED = """
   9 1   50 0   30 0    0 0 0 0
   4 0    1 1    2 1    0 0 0 0
   3 0    2 1    1 1    0 1 0 0
+  2 0   30 .1   4 1    0 1 0 0
+  3 0   25 0    5 1    0 1 0 0
+  4 0   60 0    6 1    0 0 0 0
+  2 0   10 0    8 .9   0 1 0 0
   5 0    0 0    2 1    0 0 0 0
   8 .6  50 0    3 1    0 0 0 0
   2 0    3 1    0 0    0 0 0 0
