@@ -193,6 +193,10 @@ LABELLED = """
   4 0    7 1    6 0    1 0 0 1
  60 0    4 1   50 0    1 0 0 1
  50 0    6 1   40 0    0 0 0 1
+ 60 0   50 0    3 1    0 0 0 1
+ 45 .05 70 0    2 1    0 0 0 1
+ 25 0   40 0    5 1    0 0 0 1
+ 80 0    2 1    2 1    0 0 0 1
  70 .02  5 1   30 0    0 0 0 1
  30 0    4 1    0 0    0 0 0 1
  40 0   10 0   50 0    0 0 0 1
