@@ -23,6 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textnum as tn
+from .storage import shared_folder
 from .textnum import release
 
 CHUNK_BYTES = 12 << 20
@@ -49,22 +51,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
+def mounted(folder: str) -> str | None:
+    """The shared folder's path if workers can map files in it, else None."""
+    path = folder.removeprefix("file://").removeprefix("file:") if folder.startswith("file:") else folder
+    return None if "://" in path else path
+
+
 class Shard:
-    """Sorted keys with columns of counts, in a memory-mapped file of the worker that goes with the process."""
+    """Sorted keys with columns of counts, memory-mapped: from a file in the shared folder that is gone with the
+    mapping, or from none where the shared folder isn't a mounted one."""
 
-    def __init__(self, keys: np.ndarray, columns: list[np.ndarray]):
-        self.n = len(keys)
+    def __init__(self, keys: np.ndarray, columns: list[np.ndarray], folder: str | None):
+        self.n, width = len(keys), 1 + len(columns)
         if not self.n:
             self.keys, self.columns = keys, columns
             return
-        handle, name = tempfile.mkstemp(prefix="ngrams-")
-        with os.fdopen(handle, "wb") as f:
-            f.write(np.ascontiguousarray(keys, dtype="<u8").tobytes())
-            for c in columns:
-                f.write(np.ascontiguousarray(c, dtype="<u8").tobytes())
-        self.keys = np.memmap(name, dtype="<u8", mode="r", shape=(self.n,))
-        self.columns = [np.memmap(name, dtype="<u8", mode="r", offset=8 * self.n * (i + 1), shape=(self.n,)) for i in range(len(columns))]
-        os.unlink(name)  # the mappings keep it until they go
+        size = 8 * self.n * width
+        if folder:
+            handle, name = tempfile.mkstemp(prefix="ngrams-", dir=folder)
+            os.unlink(name)
+            os.ftruncate(handle, size)
+            mapped = mmap.mmap(handle, size)
+            os.close(handle)
+        else:
+            mapped = mmap.mmap(-1, size)
+        table = np.frombuffer(mapped, dtype="<u8").reshape(width, self.n)
+        table[0] = keys
+        for k, c in enumerate(columns, 1):
+            table[k] = c
+        self.keys, self.columns = table[0], list(table[1:])
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """Each column's count for each key, 0 where the shard lacks it."""
@@ -149,13 +164,13 @@ class _Pairs:
         count = np.add.reduceat(count[order], starts)
         one = order[starts]
         seen = count > 0
-        self.v, self.w, self.count = v[one][seen], w[one][seen], count[seen]
-        self.shard = Shard(h[one][seen], [self.count])
+        self.v, self.w, self.count, self.keys = v[one][seen], w[one][seen], count[seen], h[one][seen]
 
 
-def _answer_pairs(bucket: int, table: pa.Table) -> list[tuple]:
+def _answer_pairs(bucket: int, table: pa.Table, folder: str | None) -> list[tuple]:
     p = _Pairs(table)
-    return [(c, PAIRS, bucket, ex.small(p.shard.find(_pair_hash(v, w))[0], _SUM)) for c, _, v, w, _ in p.parts]
+    shard = Shard(p.keys, [p.count], folder)
+    return [(c, PAIRS, bucket, ex.small(shard.find(_pair_hash(v, w))[0], _SUM)) for c, _, v, w, _ in p.parts]
 
 
 def _parts_of_words(bucket: int, table: pa.Table, buckets: int) -> list[tuple]:
@@ -182,20 +197,20 @@ class _Words:
         count = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in self.parts)])
         order, starts = ex.groups(keys)
         count = np.add.reduceat(count[order], starts) if len(starts) else count
-        self.count = count[count > 0]
-        self.shard = Shard(keys[order][starts][count > 0], [self.count])
+        self.keys, self.count = keys[order][starts][count > 0], count[count > 0]
         found = [(ex.from_planes(d, n, _ID), [ex.from_small(d[(_ID + _SUM * k) * n :], n, _SUM).astype(np.int64) for k in range(4)]) for _, n, d in ex.asked(table, PARTS)]
         keys = np.concatenate([np.zeros(0, tn.U64), *(f[0] for f in found)])
         n = np.concatenate([np.zeros((4, 0), np.int64), *(np.array(f[1]) for f in found)], axis=1)
         order, starts = ex.groups(keys)
         self.n = np.add.reduceat(n[:, order], starts, axis=1) if len(starts) else n
-        self.smoothing = Shard(keys[order][starts], list(self.n))
+        self.followed = keys[order][starts]
         self.counts = sum((np.frombuffer(d, "<i8") for _, _, d in ex.asked(table, COUNTS)), np.zeros(4, np.int64))
 
 
-def _answer_words(bucket: int, table: pa.Table) -> list[tuple]:
+def _answer_words(bucket: int, table: pa.Table, folder: str | None) -> list[tuple]:
     b = _Words(table)
-    return [(c, WORDS, bucket, b"".join(ex.small(x, _SUM) for x in (*b.shard.find(keys), *b.smoothing.find(keys & _LOW)))) for c, _, keys, _ in b.parts]
+    shard, smoothing = Shard(b.keys, [b.count], folder), Shard(b.followed, list(b.n), folder)
+    return [(c, WORDS, bucket, b"".join(ex.small(x, _SUM) for x in (*shard.find(keys), *smoothing.find(keys & _LOW)))) for c, _, keys, _ in b.parts]
 
 
 _TOTALS = ["tokens", "distinct", "follows", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "more"]
@@ -280,6 +295,7 @@ def scored(docs: DataFrame, out: Column | None = None) -> DataFrame:
     totals = sums.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _TOTALS])
     # the one row of totals, to every chunk
     totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("chunk"), F.lit(TOTALS).alias("kind"), F.lit(0).alias("bucket"), F.to_json(F.array(*_TOTALS)).cast("binary").alias("data"))
-    answered = ex.bucket_answers(pairs, _answer_pairs).unionByName(ex.bucket_answers(words, _answer_words)).unionByName(totals)
+    folder = mounted(shared_folder(docs.sparkSession))
+    answered = ex.bucket_answers(pairs, lambda b, t: _answer_pairs(b, t, folder)).unionByName(ex.bucket_answers(words, lambda b, t: _answer_words(b, t, folder))).unionByName(totals)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ex.with_answers(chunks, answered, lambda c, t, a: _scores(t, a, count), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -252,6 +252,17 @@ def test_ngram_scores(docs, rows, empty):
     assert math.isclose(sum(p("a", w) for w in c) + p("a", "\0"), 1.0, rel_tol=1e-9)
 
 
+def test_shards_look_up_by_binary_search(tmp_path):
+    keys = np.array([3, 9, 2**63 + 5], dtype=np.uint64)
+    for folder in (None, str(tmp_path)):
+        shard = ngrams.Shard(keys, [np.array([1, 2, 3]), np.array([0, 2**40, 7])], folder)
+        found = shard.find(np.array([9, 4, 2**63 + 5, 2**64 - 1], dtype=np.uint64))
+        assert [f.tolist() for f in found] == [[2, 0, 3, 0], [2**40, 0, 7, 0]]
+    assert not list(tmp_path.iterdir())
+    assert ngrams.Shard(keys[:0], [keys[:0]], None).find(keys)[0].tolist() == [0, 0, 0]
+    assert [ngrams.mounted(x) for x in ("file:///a/b", "file:/a", "/a", "hdfs://h/a")] == ["/a/b", "/a", "/a", None]
+
+
 PAGES = "page_id long, url string, html string, payload string, text string"
 
 
