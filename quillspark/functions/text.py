@@ -290,3 +290,20 @@ def has_markers(col: Column | str, lang: str) -> Column:
     if plain:
         n = n + F.regexp_count(F.coalesce(c(col), F.lit("")), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({plain})(?![\p{{L}}\p{{N}}_])"))
     return F.coalesce(c(col), F.lit("")).rlike(f"[{letters}]") | (n >= 2)
+
+
+def heading_level(ratio: Column, bold: Column, upper: Column) -> Column:
+    """1 to 3 by size against the body's, 4 for bold or upper case alone, null for none."""
+    return F.when(ratio >= 1.6, 1).when(ratio >= 1.3, 2).when(ratio >= 1.15, 3).when((bold >= 0.5) | (upper >= 0.8), 4)
+
+
+def context_window(col: Column | str) -> Column:
+    """Tokens that a model's name promises, such as 128K or 1M; null for none."""
+    low = F.lower(c(col))
+    n = F.regexp_extract(low, r"(?<![a-z0-9])(\d+)\s*([km])(?![a-z0-9])", 1).try_cast("bigint")
+    return n * F.when(F.regexp_extract(low, r"(?<![a-z0-9])(\d+)\s*([km])(?![a-z0-9])", 2) == "m", 1024 * 1024).otherwise(1024)
+
+
+def assembled(lines: Column) -> Column:
+    """Lines of a paragraph as one text: a line that ends in a hyphen is joined to the next without a blank."""
+    return F.aggregate(lines, F.lit(""), lambda a, x: F.when(a == "", x).when(a.endswith("-"), F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x)))

@@ -47,25 +47,26 @@ def row_error() -> Column:
     )
 
 
-def _bounded(terms: DataFrame) -> DataFrame:
+def bounded(terms: DataFrame) -> DataFrame:
     """Terms as a broadcast side only as long as they are few; beyond that the join is dealt by the planner."""
     limit = 100_000
     return F.broadcast(terms) if terms.limit(limit + 1).count() <= limit else terms
 
 
-def _pattern(word: Column) -> Column:
-    return F.regexp_replace(word, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+def word_pattern(word: Column, stem: bool) -> Column:
+    """Pattern of a word, or of what begins with its stem (the word without a final vowel, if it is longer than three)."""
+    if stem:
+        word = F.when((F.length(word) > 3) & F.substr(word, F.lit(-1)).isin(*"aeiou"), F.left(word, F.length(word) - 1)).otherwise(word)
+    quoted = F.regexp_replace(word, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit("" if stem else r"(?![\p{L}\p{N}_])"))
 
 
 def mentions(texts: DataFrame, terms: DataFrame, ident: str) -> DataFrame:
     """(ident, source_term, inside, as_word, as_stem) of every text and term: is it a substring, a word, the beginning of one?"""
     low, term = F.lower(F.col("text")), F.lower(F.col("source_term"))
-    stem = F.when((F.length(term) > 3) & F.substr(term, F.lit(-1)).isin(*"aeiou"), F.expr("substring(lower(source_term), 1, length(source_term) - 1)")).otherwise(term)
-    edge = r"(?<![\p{L}\p{N}_])"
-    word = F.concat(F.lit(edge), _pattern(term), F.lit(r"(?![\p{L}\p{N}_])"))
     # a stated list of terms against every text
-    both = texts.join(_bounded(terms), F.lit(True))
-    return both.select(ident, "source_term", low.contains(term).alias("inside"), F.regexp_like(low, word).alias("as_word"), F.regexp_like(low, F.concat(F.lit(edge), _pattern(stem))).alias("as_stem"))
+    both = texts.join(bounded(terms), F.lit(True))
+    return both.select(ident, "source_term", low.contains(term).alias("inside"), F.regexp_like(low, word_pattern(term, False)).alias("as_word"), F.regexp_like(low, word_pattern(term, True)).alias("as_stem"))
 
 
 def select_terms(texts: DataFrame, terms: DataFrame, ident: str, most: int = MAX_TERMS) -> DataFrame:
@@ -73,7 +74,7 @@ def select_terms(texts: DataFrame, terms: DataFrame, ident: str, most: int = MAX
     use = terms.where("(preferred OR status = 'approved') AND source_term <> ''")
     tokens = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("([a-zà-ÿ0-9]+)"), F.lit(1)))
     use = use.withColumns({"_words": tokens(F.col("source_term")), "_low": F.trim(F.lower("source_term"))})
-    both = texts.withColumn("_tokens", tokens(F.col("text"))).join(_bounded(use), F.lit(True))
+    both = texts.withColumn("_tokens", tokens(F.col("text"))).join(bounded(use), F.lit(True))
     hits = both.where(F.arrays_overlap("_tokens", "_words") | F.lower("text").contains(F.col("_low")))
     w = Window.partitionBy(ident).orderBy("source_term")
     return hits.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= most).drop("_words", "_low", "_tokens", "text")

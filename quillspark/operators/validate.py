@@ -143,3 +143,31 @@ def quality(source: Column, target: Column) -> dict[str, Column]:
     return {"coverage": coverage, "fluency": fluency, "length_ok": length, "variety": variety, "score": score}
 
 
+
+
+def entity_errors(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(segment_id, canonical_source, policy) where a source names an entity as a word and the target lacks what its
+    policy asks for: the source's form where it isn't translated, else the target's; inflected if that is allowed.
+
+    entities(canonical_source, canonical_target, policy, allow_inflection) is a stated list, held against all pairs.
+    """
+    from .termbase import bounded, word_pattern
+
+    low = F.lower("source")
+    named = F.regexp_like(low, word_pattern(F.lower("canonical_source"), False))
+    as_is = F.lower("policy").isin("not_translate", "block_batch")
+    wanted = F.lower(F.when(as_is, F.col("canonical_source")).otherwise(F.col("canonical_target")))
+    exact, inflected = (F.regexp_like(F.lower("target"), word_pattern(wanted, x)) for x in (False, True))
+    there = F.when(F.col("allow_inflection"), inflected).otherwise(exact)
+    both = pairs.where("source <> '' AND target <> ''").join(bounded(entities.where("canonical_source <> ''")), F.lit(True)).where(named)
+    return both.where((as_is | (F.coalesce("canonical_target", F.lit("")) != "")) & ~there).select("segment_id", "canonical_source", "policy")
+
+
+def is_copy(source: Column, target: Column) -> Column:
+    """The target is the source but for marks and case, and that isn't allowed."""
+    return (t.for_compare(source) == t.for_compare(target)) & ~t.copy_allowed(source)
+
+
+def untranslated(source: Column, target: Column, lang: str, probability: Column, limit: float = 0.5) -> Column:
+    """No mark of the language in the target, and a verifier's probability under the limit; short and numeric sources aside."""
+    return ~t.copy_allowed(source) & ~t.has_markers(target, lang) & (F.coalesce(probability, F.lit(0.0)) < limit)

@@ -116,3 +116,47 @@ SELECT {KEYS}, round(CAST(coverage AS DOUBLE) + 1e-9, 4) AS coverage, round(CAST
 def qe_scores(spark, sf):
     q = va.quality(*_s())
     return _cols(pairs(spark, sf), **{k: F.round(q[k] + 1e-9, 4) for k in ("coverage", "length_ok", "variety", "score")})
+
+
+#: entities of the stand-ins: source, target, policy, inflection allowed
+ENTITIES = [("the", "that", "translate", False), ("thing", "stone", "not_translate", True), ("you", "", "translate", False), ("and", "for", "translate", True)]
+ENTITIES_SQL = "ents(s, g, policy, inflect) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(d).lower()})" for a, b, c, d in ENTITIES) + ")"
+_W = r"'(^|[^\p{L}\p{N}_])' || {x} || '([^\p{L}\p{N}_]|$)'"
+_STEM = r"'(^|[^\p{L}\p{N}_])' || CASE WHEN len({x}) > 3 AND {x}[-1] IN ('a', 'e', 'i', 'o', 'u') THEN {x}[:-2] ELSE {x} END"
+_WANT = "CASE WHEN policy = 'not_translate' THEN s ELSE g END"
+
+
+@query(f"""WITH {PAIRS}, {ENTITIES_SQL} SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS segment_id, s AS canonical_source, policy FROM bi, ents
+WHERE source <> '' AND target <> '' AND regexp_matches(lower(source), {_W.replace('{x}', 's')}) AND (policy = 'not_translate' OR g <> '')
+ AND NOT CASE WHEN inflect THEN regexp_matches(lower(target), {_STEM.replace('{x}', '(' + _WANT + ')')}) ELSE regexp_matches(lower(target), {_W.replace('{x}', '(' + _WANT + ')')}) END""")
+def val_entities(spark, sf):
+    e = spark.createDataFrame(ENTITIES, "canonical_source string, canonical_target string, policy string, allow_inflection boolean")
+    p = pairs(spark, sf).withColumn("segment_id", F.concat_ws(":", "conv_id", "turn"))
+    return va.entity_errors(p, e)
+
+
+_NORM = r"trim(regexp_replace(lower(replace(replace(replace(translate({x}, '“”„«»‘’', '\"\"\"\"\"'''''), '—', '--'), '–', '-'), '…', '...')), '[ \t\n\r]+', ' ', 'g'))".replace('\\"', '"')
+
+
+@query(f"""WITH d AS (SELECT source, text, lower(text) AS low, min(doc_id) AS doc_id FROM documents GROUP BY source, text) SELECT doc_id, {_NORM.format(x='text')} = {_NORM.format(x='low')} AND len(regexp_extract_all({_NORM.format(x='text')}, '[^ ]+')) >= 4
+ AND NOT (len(regexp_extract_all({_NORM.format(x='text')}, '\\p{{N}}')) > 0 AND len(regexp_extract_all({_NORM.format(x='text')}, '\\p{{N}}')) / greatest(1, len(regexp_extract_all({_NORM.format(x='text')}, '\\p{{L}}')) + len(regexp_extract_all({_NORM.format(x='text')}, '\\p{{N}}'))) > 0.3) AS copy FROM d""")
+def copy_check(spark, sf):
+    """A text and its lower case are a copy, unless it may be."""
+    d = table(spark, sf, "documents").groupBy("source", "text").agg(F.min("doc_id").alias("doc_id"))
+    return d.select("doc_id", va.is_copy(F.col("text"), F.lower("text")).alias("copy"))
+
+
+@query()
+def untranslated_gate(spark, sf):
+    """Documents without marks of German that a verifier doubts as well."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return d.where(va.untranslated(F.col("text"), F.col("text"), "de", F.col("quality") * 0.6)).select("doc_id", "lang")
+
+
+@query("SELECT a.s_suppkey, NOT (lower(n.n_name) <> lower(r.r_name)) AS fits FROM supplier a JOIN nation n ON s_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey")
+def context_fit(spark, sf):
+    from ..operators import memory as tm
+
+    s, n, r = (table(spark, sf, x) for x in ("supplier", "nation", "region"))
+    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.select("s_suppkey", tm.fits_context(F.col("n_name"), F.lit(None).cast("string"), F.col("r_name"), F.lit("first")).alias("fits"))

@@ -159,3 +159,34 @@ def ocr_page(spark, sf):
 def ocr_best_attempt(spark, sf):
     rank = F.struct((F.col("l_discount") > 0.05).alias("suspect"), "l_linenumber")
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", rank).cast("int").alias("attempt"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity / 25 >= 1.6 THEN 1 WHEN l_quantity / 25 >= 1.3 THEN 2 WHEN l_quantity / 25 >= 1.15 THEN 3 WHEN l_discount * 10 >= 0.5 OR l_tax * 10 >= 0.8 THEN 4 END AS level,
+ CASE WHEN abs((l_quantity + 10) / 2 - 25) <= 2 THEN 'center' WHEN l_quantity < 10 THEN 'left' ELSE 'right' END AS alignment FROM lineitem""")
+def heading_levels(spark, sf):
+    q = F.col("l_quantity")
+    align = F.when(F.abs((q + 10) / 2 - 25) <= 2, "center").when(q < 10, "left").otherwise("right")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.heading_level(q / 25, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("level"), align.alias("alignment"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), k AS (SELECT source, {KEY} AS line_key, count(*) AS n FROM lines GROUP BY source, {KEY}),
+h AS (SELECT source, line_key FROM k JOIN p USING (source) WHERE line_key <> '' AND n >= greatest(2, ceil(0.04 * pages)))
+SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM (SELECT *, {KEY} AS line_key FROM lines) l WHERE trim(line) <> '' AND NOT EXISTS (SELECT 1 FROM h WHERE h.source = l.source AND h.line_key = l.line_key) GROUP BY doc_id""")
+def scope_text(spark, sf):
+    """Pages without their repeated headers; pages that hold nothing else are dropped."""
+    d = table(spark, sf, "documents")
+    keyed = ln.lines(d).select("doc_id", "source", "line_no", "line", t.line_key("line").alias("line_key")).where(F.trim("line") != "")
+    kept = keyed.join(lo.header_census(d, 0.04).select("source", "line_key"), ["source", "line_key"], "left_anti")
+    g = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return g.select("doc_id", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), k AS (SELECT source, {KEY} AS line_key, count(*) AS n FROM lines GROUP BY source, {KEY}),
+h AS (SELECT source, line_key FROM k JOIN p USING (source) WHERE line_key <> '' AND n >= greatest(2, ceil(0.04 * pages)))
+SELECT doc_id, bool_and(h.line_key IS NOT NULL) AS excluded FROM (SELECT doc_id, source, {KEY} AS line_key FROM lines) l LEFT JOIN h USING (source, line_key) WHERE line_key <> '' GROUP BY doc_id""")
+def page_exclusions(spark, sf):
+    """Pages all of whose lines are repeated headers."""
+    d = table(spark, sf, "documents")
+    keyed = ln.lines(d).select("doc_id", "source", t.line_key("line").alias("line_key")).where("line_key <> ''")
+    h = lo.header_census(d, 0.04).select("source", "line_key", F.lit(True).alias("header"))
+    return keyed.join(h, ["source", "line_key"], "left").groupBy("doc_id").agg(F.bool_and(F.col("header").isNotNull()).alias("excluded"))

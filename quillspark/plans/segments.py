@@ -93,3 +93,12 @@ def budget_status(spark, sf):
 def verify_blocks(spark, sf):
     b = pk.blocks(_sentence_packs(spark, sf, 400), ["doc_id"], "ordinal", 400)
     return b.agg(F.max("total").alias("max_total"), F.bool_and(~F.col("oversized")).alias("within"), F.count_if("oversized").alias("oversized"))
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {_packing_sql(SENTENCE_ROWS, 400)} SELECT p.k AS doc_id, CAST(block AS BIGINT) AS block, '{{"segments":[' || string_agg('{{"ordinal":' || p.n || ',"sha256":"' || sha256(s) || '"}}', ',' ORDER BY p.n) || ']}}' AS payload FROM p JOIN sents ON sents.doc_id = p.k AND sents.n = p.n GROUP BY p.k, block""")
+def block_payload(spark, sf):
+    """A block as JSON: its segments in order, by digest."""
+    s = ln.sentences(table(spark, sf, "documents")).select("doc_id", "ordinal", F.sha2("sentence", 256).alias("sha256"))
+    p = _sentence_packs(spark, sf, 400).join(s, ["doc_id", "ordinal"])
+    g = p.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(F.struct("ordinal", "sha256"))).alias("segments"))
+    return g.select("doc_id", "block", F.to_json(F.struct("segments")).alias("payload"))

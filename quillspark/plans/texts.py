@@ -211,8 +211,21 @@ def dates(spark, sf):
     return d.select("doc_id", F.size(F.array_distinct(t.every("text", t.ISO_DATE))).cast("long").alias("iso_dates"), F.size(F.array_distinct(t.every("text", t.SLASH_DATE))).cast("long").alias("slash_dates"))
 
 
-@query("SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(text) AS sha, to_json({'redacted': true, 'len': len(text), 'sha256': sha256(text)}) AS stub FROM documents".replace("to_json({'redacted': true, 'len': len(text), 'sha256': sha256(text)})", "'{\"redacted\":true,\"len\":' || len(text) || ',\"sha256\":\"' || sha256(text) || '\"}'"))
+@query("""SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(text) AS sha, '{"redacted":true,"len":' || len(text) || ',"sha256":"' || sha256(text) || '"}' AS stub FROM documents""")
 def redact(spark, sf):
     d = table(spark, sf, "documents")
     stub = F.to_json(F.struct(F.lit(True).alias("redacted"), F.length("text").alias("len"), F.sha2("text", 256).alias("sha256")))
     return d.select("doc_id", F.col("n_chars").cast("long"), F.sha2("text", 256).alias("sha"), stub.alias("stub"))
+
+
+@query(r"""SELECT DISTINCT p_size, lower(p_brand) AS name, TRY_CAST(regexp_extract(p_size || 'k', '^(\d+)k$', 1) AS BIGINT) * 1024 AS tokens FROM part""")
+def context_hints(spark, sf):
+    p = table(spark, sf, "part").select("p_size", F.lower("p_brand").alias("name")).distinct()
+    return p.select("p_size", "name", t.context_window(F.concat_ws(" ", F.lit("model"), F.concat(F.col("p_size").cast("string"), F.lit("K")))).alias("tokens"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, regexp_replace(string_agg(line, ' ' ORDER BY line_no), '- ', '-', 'g') AS text FROM lines WHERE NOT regexp_matches(line, '- ') AND line <> '' GROUP BY doc_id""")
+def assembled_lines(spark, sf):
+    lines = ln.lines(table(spark, sf, "documents")).where(~F.col("line").contains("- ") & (F.col("line") != ""))
+    g = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return g.select("doc_id", t.assembled(F.col("l.line")).alias("text"))
