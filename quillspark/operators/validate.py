@@ -59,21 +59,25 @@ def compare_words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit("([a-zà-ÿ0-9']+)"), F.lit(1))
 
 
-def shared_run(source: Column, target: Column, size: int = RUN) -> Column:
-    """Do the two share a run of that many words?"""
+def shared_run(s: Column, g: Column, size: int = RUN) -> Column:
+    """Do two arrays of words share a run of that many?"""
 
     def grams(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(w) - size + 1)
         return F.when(F.size(w) >= size, F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.arrays_overlap(grams(compare_words(source)), grams(compare_words(target)))
+    return F.arrays_overlap(grams(s), grams(g))
 
 
-def leftover(source: Column, target: Column) -> Column:
-    """A run of the source is left in the target, and close to half of the target's words are the source's."""
-    s, g = compare_words(source), compare_words(target)
-    share = F.size(F.filter(g, lambda w: F.array_contains(s, w))) / F.greatest(F.size(g), F.lit(1))
-    return shared_run(source, target) & (share >= OVERLAP)
+def with_leftover(pairs: DataFrame, name: str = "leftover") -> DataFrame:
+    """pairs with: is a run of the source left in the target, and close to half of the target's words the source's?
+
+    The words are columns of their own first, so that they are made once for each row.
+    """
+    w = pairs.withColumns({"_s": compare_words(F.col("source")), "_g": compare_words(F.col("target"))})
+    s, g = F.col("_s"), F.col("_g")
+    share = F.size(F.filter(g, lambda x: F.array_contains(s, x))) / F.greatest(F.size(g), F.lit(1))
+    return w.withColumn(name, (share >= OVERLAP) & shared_run(s, g)).drop("_s", "_g")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -108,9 +112,9 @@ def errors(pairs: DataFrame, forbidden: list[str], keep: list[str]) -> DataFrame
     all_ = F.concat(
         rows(internal_tokens(g), "internal_token", HARD), rows(lost_placeholders(s, g), "placeholder", SOFT), rows(lost_numbers(s, g), "numbers", SOFT),
         rows(present(g, lists(forbidden)), "forbidden_term", SOFT), rows(absent(g, lists(keep)), "must_keep", SOFT), rows(one(length_error(s, g)), "length", SOFT),
-        rows(one(F.when(leftover(s, g), F.lit("run of the source"))), "leftover_english", HARD),
+        rows(one(F.when(F.col("_leftover"), F.lit("run of the source"))), "leftover_english", HARD),
     )
-    found = pairs.where((s != "") & (g != "")).select("segment_id", F.explode(all_).alias("e")).select("segment_id", "e.*")
+    found = with_leftover(pairs.where((s != "") & (g != "")), "_leftover").select("segment_id", F.explode(all_).alias("e")).select("segment_id", "e.*")
     same = identical(pairs).select("segment_id", F.lit("target_identical").alias("kind"), F.lit("copy").alias("message"), F.lit(HARD).alias("severity"))
     return found.unionByName(same)
 
@@ -127,22 +131,27 @@ STOPWORDS = "a an the and or but of to in on for with as is are was were be been
 WORD = r"([A-Za-zÀ-ɏ]+|[0-9]+)"
 
 
-def quality(source: Column, target: Column) -> dict[str, Column]:
-    """coverage, fluency (neutral without a parser), length_ok, variety and score of a pair."""
-    inv, low = t.invariants(source), F.lower(target)
-    coverage = F.when(F.size(inv) == 0, 1.0).otherwise(F.size(F.filter(inv, lambda x: low.contains(F.lower(x)))) / F.greatest(F.size(inv), F.lit(1)))
-    a = F.greatest(F.size(F.regexp_extract_all(source, F.lit(WORD), F.lit(1))), F.lit(1))
-    w = F.transform(F.regexp_extract_all(target, F.lit(WORD), F.lit(1)), F.lower)
-    n = F.size(w)
-    r = n / a
-    length = F.when((r >= 0.55) & (r <= 1.95), 1.0).when(r < 0.55, F.greatest(F.lit(0.0), 1 - (0.55 - r) / 0.55)).otherwise(F.greatest(F.lit(0.0), 1 - (r - 1.95) / 1.95))
-    pairs = F.when(n > 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-    variety = F.when(n <= 2, 0.5).otherwise(0.5 * F.size(F.array_distinct(w)) / n + 0.5 * F.size(F.array_distinct(pairs)) / F.greatest(n - 1, F.lit(1)))
-    fluency = F.lit(0.5)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.45 * coverage + 0.30 * fluency + 0.15 * length + 0.10 * variety))
-    return {"coverage": coverage, "fluency": fluency, "length_ok": length, "variety": variety, "score": score}
-
+def with_quality(pairs: DataFrame) -> DataFrame:
+    """pairs with coverage, fluency (neutral without a parser), length_ok, variety and score.
 
+    Tokens are columns of their own first, so that they are made once for each row.
+    """
+    source, target = F.col("source"), F.col("target")
+    p = pairs.withColumns({"_inv": t.invariants(source), "_low": F.lower(target), "_a": F.greatest(F.size(F.regexp_extract_all(source, F.lit(WORD), F.lit(1))), F.lit(1)), "_w": F.transform(F.regexp_extract_all(target, F.lit(WORD), F.lit(1)), F.lower)})
+    inv, low, w = F.col("_inv"), F.col("_low"), F.col("_w")
+    p = p.withColumns({"_n": F.size(w), "_kept": F.size(F.filter(inv, lambda x: low.contains(F.lower(x)))), "_r": F.size(w) / F.col("_a")})
+    n, r = F.col("_n"), F.col("_r")
+    pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    p = p.withColumns(
+        {
+            "coverage": F.when(F.size(inv) == 0, 1.0).otherwise(F.col("_kept") / F.greatest(F.size(inv), F.lit(1))),
+            "fluency": F.lit(0.5),
+            "length_ok": F.when((r >= 0.55) & (r <= 1.95), 1.0).when(r < 0.55, F.greatest(F.lit(0.0), 1 - (0.55 - r) / 0.55)).otherwise(F.greatest(F.lit(0.0), 1 - (r - 1.95) / 1.95)),
+            "variety": F.when(n <= 2, 0.5).otherwise(0.5 * F.size(F.array_distinct(w)) / n + 0.5 * F.size(F.array_distinct(pairs_of)) / F.greatest(n - 1, F.lit(1))),
+        }
+    )
+    score = 0.45 * F.col("coverage") + 0.30 * F.col("fluency") + 0.15 * F.col("length_ok") + 0.10 * F.col("variety")
+    return p.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).drop("_inv", "_low", "_a", "_w", "_n", "_kept", "_r")
 
 
 def entity_errors(pairs: DataFrame, entities: DataFrame) -> DataFrame:

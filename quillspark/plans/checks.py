@@ -75,7 +75,7 @@ G4 = "CASE WHEN len({w}) >= 4 THEN list_transform(range(1, len({w}) - 2), lambda
 @query(f"""WITH {PAIRS}, w AS (SELECT {KEYS}, {CW.format(x='source')} AS s, {CW.format(x='target')} AS g FROM bi)
 SELECT {KEYS}, len(list_intersect({G4.format(w='s')}, {G4.format(w='g')})) > 0 AND len(list_filter(g, lambda x: list_contains(s, x))) / greatest(1, len(g)) >= 0.45 AS leftover FROM w""")
 def val_leftover(spark, sf):
-    return _cols(pairs(spark, sf), leftover=va.leftover(*_s()))
+    return va.with_leftover(pairs(spark, sf)).select("conv_id", "turn", "leftover")
 
 
 @query("""WITH r AS (SELECT o_custkey AS batch, list(o_orderkey ORDER BY o_orderkey) AS want, list(o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END ORDER BY o_orderkey) AS got FROM orders GROUP BY o_custkey)
@@ -114,8 +114,8 @@ q AS (SELECT {KEYS}, CASE WHEN len(inv) = 0 THEN 1.0 ELSE len(list_filter(inv, l
   CASE WHEN len(g) <= 2 THEN 0.5 ELSE 0.5 * len(list_distinct(g)) / len(g) + 0.5 * len(list_distinct(list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]))) / (len(g) - 1) END AS variety FROM w)
 SELECT {KEYS}, round(CAST(coverage AS DOUBLE) + 1e-9, 4) AS coverage, round(CAST(length_ok AS DOUBLE) + 1e-9, 4) AS length_ok, round(CAST(variety AS DOUBLE) + 1e-9, 4) AS variety, round(CAST(0.45 * coverage + 0.15 + 0.15 * length_ok + 0.10 * variety AS DOUBLE) + 1e-9, 4) AS score FROM q""")
 def qe_scores(spark, sf):
-    q = va.quality(*_s())
-    return _cols(pairs(spark, sf), **{k: F.round(q[k] + 1e-9, 4) for k in ("coverage", "length_ok", "variety", "score")})
+    q = va.with_quality(pairs(spark, sf))
+    return q.select("conv_id", "turn", *[F.round(F.col(k) + 1e-9, 4).alias(k) for k in ("coverage", "length_ok", "variety", "score")])
 
 
 #: entities of the stand-ins: source, target, policy, inflection allowed
