@@ -58,15 +58,22 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): fp as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, shingle: int, few: int = 0) -> DataFrame:
+    """(doc_id, fp): fp as a signed long of the same bits.
+
+    Over an even, small number of shingles a majority sets few bits, and unrelated texts come close: two shingles
+    give a quarter of the bits. Texts of fewer shingles than `few` therefore get the hash of all their words, so
+    that they are near equal ones only.
+    """
 
     def run(batches):
         for b in batches:
             buf, offs = tn.buffer_of(tn.as_bytes(b.column(1)))
             fps = []
             for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                fps.append(fingerprint(shingle_hashes(buf[a:z].tobytes(), shingle)))
+                text = buf[a:z].tobytes()
+                h = shingle_hashes(text, shingle)
+                fps.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) if 0 < len(h) < few else fingerprint(h))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
@@ -203,9 +210,9 @@ def _in_blocks(shards: DataFrame, radius: int, size: int) -> DataFrame:
     return pairs.groupBy("mask", "value", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8, hot: int = 4096) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8, few: int = 8, hot: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    fps = durable(fingerprints(docs, shingle))
+    fps = durable(fingerprints(docs, shingle, few))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(distinct.select("fp"), radius, blocks, hot))
     joined = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "rep")
@@ -216,7 +223,7 @@ def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8,
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every row: three-word shingles, links within two bits."""
-    g = grouped(docs, shingle=3, radius=2, blocks=3)
+    g = grouped(docs, shingle=3, radius=2, blocks=3, few=0)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -48,17 +48,19 @@ def substring_dedup(rows):
     return out
 
 
-def fingerprint(text, size):
+def fingerprint(text, size, few=0):
     w = WORD.findall((text or "").translate(UP))
     if not w:
         return 0
+    if max(1, len(w) - size + 1) < few:
+        return xxhash.xxh64_intdigest(" ".join(w).encode(), seed=42)
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + size]).encode(), seed=42) for k in range(max(1, len(w) - size + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def linked(rows, size, radius):
+def linked(rows, size, radius, few=0):
     """(doc_id, fingerprint, component) by position."""
-    fp = [fingerprint(t, size) for _, t in rows]
+    fp = [fingerprint(t, size, few) for _, t in rows]
     group = list(range(len(rows)))
 
     def find(x):

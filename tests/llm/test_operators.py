@@ -91,11 +91,11 @@ def test_simhash(docs, rows, empty):
     expected = plain.linked(rows, 3, 2)
     same(simhash.digests(docs), expected, "doc_id", "fingerprint", "component_id")
     assert simhash.digests(empty).count() == 0
-    wide = [(i, c) for i, _, c in plain.linked(rows, 5, 6)]
+    wide = [(i, c) for i, _, c in plain.linked(rows, 5, 6, 8)]
     for hot in (4096, 2, 1):  # shards in a tree, or in blocks
         same(simhash.grouped(docs, hot=hot), wide, "doc_id", "component_id")
     for hot in (1, 2):  # shards by names
-        same(simhash.grouped(docs, shingle=3, radius=2, blocks=3, hot=hot), [(i, c) for i, _, c in expected], "doc_id", "component_id")
+        same(simhash.grouped(docs, shingle=3, radius=2, blocks=3, few=0, hot=hot), [(i, c) for i, _, c in expected], "doc_id", "component_id")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted({r.doc_id for r in kept.collect() if r.doc_id is not None}) == sorted({c for _, c in wide if c is not None})

@@ -25,7 +25,7 @@ def test_stages(spark, sf):
 
     single = stages[1](spark, clean, sf)
     rows = [(i, r.text) for i, r in after.items()]
-    kept = {c for _, _, c in plain.linked(rows, 5, 6)}
+    kept = {c for _, _, c in plain.linked(rows, 5, 6, 8)}
     before, after = after, read(single)
     assert after == {i: r for i, r in before.items() if i in kept} and single.columns == docs.columns
     assert len(after) < len(before)
