@@ -25,7 +25,7 @@ def structure_nodes(spark, sf):
 
 @query()
 def structure_parts(spark, sf):
-    return st.parts(st.nodes(lo.pages(table(spark, sf, "documents")), 0.2), 2)
+    return st.parts(st.nodes(lo.pages(table(spark, sf, "documents")), 0.2), 1)
 
 
 @query(rf"""WITH {PAGED}, l AS (SELECT source, page_number, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t]+', ' ', 'g'))) AS line FROM paged),
@@ -204,7 +204,7 @@ def val_syntax(spark, sf):
     return d.select("doc_id", F.col("text").startswith("{").alias("looks_json"), F.expr("try_parse_json(text) IS NOT NULL").alias("valid"))
 
 
-@query("""SELECT p_partkey, round(least(100.0, p_size * 2.0), 4) AS width_pct, p_retailprice > 0 AND p_size > 1 AS visible, round(p_size * 25.4 / 72, 4) AS mm FROM part""")
+@query("""SELECT p_partkey, CAST(round(least(100.0, p_size * 2.0), 4) AS DOUBLE) AS width_pct, p_retailprice > 0 AND p_size > 1 AS visible, round(p_size * 25.4 / 72, 4) AS mm FROM part""")
 def image_layout(spark, sf):
     p = table(spark, sf, "part")
     return p.select("p_partkey", F.round(F.least(F.lit(100.0), F.col("p_size") * 2.0), 4).alias("width_pct"), ((F.col("p_retailprice") > 0) & (F.col("p_size") > 1)).alias("visible"), F.round(F.col("p_size") * 25.4 / 72, 4).alias("mm"))

@@ -65,7 +65,7 @@ def stream_progress(spark, sf):
         df.select(F.col("w.start").alias("start"), "event_type", "jobs", F.round("seconds", 3).alias("seconds")).write.mode("overwrite").parquet(f"{path}/table")
 
     rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return spark.read.parquet(f"{path}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query()
@@ -120,7 +120,7 @@ def segment_pages(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", low("text").alias("w")).where("size(w) >= 6").select("item_id", F.array_join(F.slice("w", 1, 6), " ").alias("lead")).distinct()
     x = ln.lines(table(spark, sf, "documents")).select("doc_id", low("line").alias("w")).where("size(w) >= 6")
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))
-    return b.join(x.select("doc_id", F.explode(runs).alias("lead")).distinct(), "lead").select("item_id", "doc_id")
+    return x.select("doc_id", F.explode(runs).alias("lead")).join(b, "lead").select("item_id", "doc_id").distinct()
 
 
 @query("""WITH r AS (SELECT c_nationkey AS k, c_custkey AS start_page, c_custkey + CAST(c_nationkey AS BIGINT) * 5 AS end_page FROM customer)
