@@ -122,7 +122,7 @@ def _answer_anchors(bucket: int, table: pa.Table, hot: int) -> list[tuple]:
     order, starts = ex.groups(keys)
     different = np.add.reduceat(value[order] >> 1, starts)
     recurs = (np.diff(np.concatenate([starts, [len(keys)]])) > 1) | (np.maximum.reduceat(value[order] & 1, starts) > 0)
-    verdict = ex.spread(order, starts, recurs + (recurs & (different > hot)))
+    verdict = ex.spread(order, starts, recurs.astype(np.uint8) + (recurs & (different > hot)))
     out, at = [], 0
     for c, n, *_ in parts:
         out.append((c, 0, bucket, verdict[at : at + n].astype(np.uint8).tobytes()))
