@@ -49,6 +49,25 @@ def verified_toc(entries: DataFrame, paged: DataFrame) -> DataFrame:
     return j.groupBy("source", "title", "page").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("verified"))
 
 
+def page_windows(items: DataFrame, pages: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """items(item_id, text), pages(page, text) -> item_id, page, window: the longest of the item's first 12, 8, 6 or 4
+    words that stand on the page in a row, across lines; items of fewer than four words are sought whole.
+    ranges(item_id, start_page, end_page) leaves each item the pages of its chapter only."""
+    low = lambda c: t.words(F.lower(c))
+    lead = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    i = items.select("item_id", low("text").alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(4)))
+    i = i.select("item_id", "n", lead("w", 1, F.col("n")).alias("lead"), F.slice("w", 1, 12).alias("w")).distinct()
+    x = pages.select("page", low("text").alias("v")).where("size(v) > 0")
+    x = x.select("page", "v", F.posexplode("v").alias("at", "_")).select("page", F.slice("v", F.col("at") + 1, 12).alias("v"))
+    x = x.join(F.broadcast(i.select("n").distinct())).where(F.size("v") >= F.col("n"))
+    j = x.withColumn("lead", lead("v", 1, F.col("n"))).join(i, ["n", "lead"])
+    if ranges is not None:
+        j = j.join(ranges, "item_id").where("page BETWEEN start_page AND end_page")
+    hit = lambda k: (F.size("w") >= k) & (F.slice("v", 1, k) == F.slice("w", 1, k))
+    window = F.when(hit(12), 12).when(hit(8), 8).when(hit(6), 6).otherwise(F.col("n"))
+    return j.groupBy("item_id", "page").agg(F.max(window).alias("window"))
+
+
 def parts(chapters: DataFrame, least: int = 4) -> DataFrame:
     """Runs of `least` or more chapters whose titles begin with the same word: source, first, last, prefix, chapters."""
     w = Window.partitionBy("source").orderBy("start_page")

@@ -10,6 +10,7 @@ from ..functions import preprocess as pp
 from ..functions import text as t
 from ..operators import lines as ln
 from ..operators import ranking as rk
+from ..operators import structure as st
 from ..operators.durable import new_path
 from ..session import table
 from ..streaming import progress as sp
@@ -123,6 +124,13 @@ def segment_pages(spark, sf):
     return x.select("doc_id", F.explode(runs).alias("lead")).join(b, "lead").select("item_id", "doc_id").distinct()
 
 
+@query()
+def segment_page_windows(spark, sf):
+    """Which documents hold the first 12, 8, 6 or 4 words of a segment, across lines, and how many of them."""
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "text")
+    return st.page_windows(table(spark, sf, "benchmark"), pages).select("item_id", F.col("page").alias("doc_id"), "window")
+
+
 @query("""WITH r AS (SELECT c_nationkey AS k, c_custkey AS start_page, c_custkey + CAST(c_nationkey AS BIGINT) * 5 AS end_page FROM customer)
 SELECT k, start_page, CAST(max(end_page) OVER (PARTITION BY k ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS reach FROM r""")
 def range_repair(spark, sf):
