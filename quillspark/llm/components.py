@@ -13,17 +13,23 @@ from pyspark.sql import functions as F
 from .storage import durable
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, component): the smallest node that each node of an edge can reach."""
+def components(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """edges (a, b) -> (node, component): the smallest node that each node of an edge can reach.
+
+    With ranks (node, rank) of all nodes, the smallest is that of the smallest rank, null ranks last, and the
+    result has a column rank, the component's.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v")
     both = durable(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = durable(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    nodes = both.select(F.col("u").alias("node")).distinct()
+    nodes = nodes.withColumn("rank", F.lit(None).cast("long")) if ranks is None else nodes.join(ranks, "node")
+    labels = durable(nodes.select("node", F.struct(F.col("rank").isNull().alias("none"), "rank", "node").alias("label")))
     while True:
-        # the smallest label among the neighbours, then the label's own label
+        # the smallest label among the neighbours, then the label of the node that the label names
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
         hooked = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        new = durable(hooked.join(jump, hooked.label == jump["at"], "left").select("node", "was", F.coalesce("to", "label").alias("label")))
+        new = durable(hooked.join(jump, hooked.label.node == jump["at"], "left").select("node", "was", F.coalesce("to", "label").alias("label")))
         labels = new.select("node", "label")
         if new.where("was <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            return labels.select("node", F.col("label.node").alias("component"), *([] if ranks is None else [F.col("label.rank").alias("rank")]))

@@ -3,11 +3,16 @@
 Patterns are the benchmark's windows of 13 words (items of fewer words are one pattern
 each). Per pattern length m: a shift table over blocks of B words says how far the search
 may move on, a hash of the last block selects the patterns to test, and a comparison of
-the words themselves confirms an occurrence. Patterns are searched in blocks of items, so
-that what is shipped to the workers has a bound that does not depend on the benchmark.
-
-Rows: null texts have no words; items without words are no pattern; equal patterns of
-several items count for each of them; repeated rows are answered each.
+the words themselves confirms an occurrence. Patterns are searched in blocks of items, and
+after every few blocks the documents found so far are written to the shared folder, so that
+neither what is shipped to the workers nor the plan grows with the benchmark; the number of
+passes over the documents does, one for each block.
+
+Rows: null and empty texts have no words; items without words are no pattern; equal patterns
+of several items count for each of them; items of a null id hit words and count together as
+one item, which has no place in the list of ids' text; repeated rows are answered each; extra
+columns pass through as they are, but for those that are returned; an empty benchmark hits
+nothing; an empty table gives an empty result. A text is held by one task, as a list of words.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: fixed values: what a word is, the window, the block of the shift table
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW, BLOCK = 13, 3
@@ -32,12 +39,12 @@ def words_of(text: str | None) -> list[str]:
 class WuManber:
     """All patterns of one length m. find() gives (start, pattern's items) of each occurrence."""
 
-    def __init__(self, patterns: dict[tuple[str, ...], list[str]]):
+    def __init__(self, patterns: dict[tuple[str, ...], dict[str | None, None]]):
         self.m = len(next(iter(patterns)))
         self.b = min(BLOCK, self.m)
         self.far = self.m - self.b + 1
         self.shift: dict[tuple[str, ...], int] = {}
-        self.tests: dict[tuple[str, ...], list[tuple[tuple[str, ...], list[str]]]] = {}
+        self.tests: dict[tuple[str, ...], list[tuple[tuple[str, ...], dict[str | None, None]]]] = {}
         for p, items in patterns.items():
             for end in range(self.b, self.m + 1):
                 block = p[end - self.b : end]
@@ -60,16 +67,14 @@ class WuManber:
             at += 1
 
 
-def patterns_of(items: list[tuple[str, str | None]]) -> dict[int, dict[tuple[str, ...], list[str]]]:
+def patterns_of(items: list[tuple[str | None, str | None]]) -> dict[int, dict[tuple[str, ...], dict[str | None, None]]]:
     """By length: pattern to the ids of the items that hold it."""
-    found: dict[int, dict[tuple[str, ...], list[str]]] = {}
+    found: dict[int, dict[tuple[str, ...], dict[str | None, None]]] = {}
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
             p = tuple(w[i : i + WINDOW])
-            ids = found.setdefault(len(p), {}).setdefault(p, [])
-            if item not in ids:
-                ids.append(item)
+            found.setdefault(len(p), {}).setdefault(p, {})[item] = None
     return found
 
 
@@ -86,20 +91,22 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int):
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1 << 20, passes: int = 4) -> DataFrame:
     """docs' columns plus n_words, hits (array of [start, end) word spans, disjoint) and items (sorted ids).
 
     One pass over docs for each block of benchmark text (1 MB by default); a further pass
-    extends the former's spans and items.
+    extends the former's spans and items. After `passes` of them the result is written down.
     """
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(*[F.col(f"`{c}`") for c in names])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    first = True
+    done = 0
     for block in _item_blocks(benchmark, block_bytes):
-        out = _searched(out, names, kept, patterns_of(block), first)
-        first = False
-    return _searched(out, names, kept, {}, True) if first else out
+        if done and done % passes == 0:
+            out = written(out, "decontaminated")
+        out = _searched(out, names, kept, patterns_of(block), not done)
+        done += 1
+    return out if done else _searched(out, names, kept, {}, True)
 
 
 def _searched(df: DataFrame, names: list[str], kept: str, patterns: dict, first: bool) -> DataFrame:
@@ -120,7 +127,7 @@ def _searched(df: DataFrame, names: list[str], kept: str, patterns: dict, first:
                         ids.update(found)
                 n_words.append(len(w))
                 hits.append(_union(spans))
-                items.append(sorted(ids))
+                items.append(sorted(ids, key=lambda i: (i is None, i or "")))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x] for x in hits], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 names=[*names, "n_words", "hits", "items"],

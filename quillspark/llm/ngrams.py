@@ -143,12 +143,12 @@ class _Chunk:
         return v[inner], w[inner], count[inner], bounds, back[ex.spread(order, starts, np.arange(len(keys), dtype=np.int32))].astype(np.int32)
 
 
-def _ask_pairs(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
+def _ask_pairs(chunk: int, table: pa.Table, buckets: int) -> list[ex.Part]:
     v, w, count, bounds, _ = _Chunk(table).pairs(buckets)
     return ex.asks(chunk, PAIRS, bounds, lambda a, z: ex.planes(v[a:z], _ID) + ex.planes(w[a:z], _ID) + ex.small(count[a:z], 4))
 
 
-def _ask_words(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
+def _ask_words(chunk: int, table: pa.Table, buckets: int) -> list[ex.Part]:
     keys, count, _, _ = _Chunk(table).words()
     return ex.asks(chunk, WORDS, ex.bucket_bounds(keys, buckets), lambda a, z: ex.planes(keys[a:z], 8) + ex.small(count[a:z], 4))
 
@@ -156,8 +156,8 @@ def _ask_words(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
 class _Pairs:
     """A bucket's pairs."""
 
-    def __init__(self, table: pa.Table):
-        self.parts = [(c, n, ex.from_planes(d, n, _ID), ex.from_planes(d[_ID * n :], n, _ID), ex.from_small(d[2 * _ID * n :], n, 4).astype(np.int64)) for c, n, d in ex.asked(table, PAIRS)]
+    def __init__(self, asking: list[ex.Part]):
+        self.parts = [(c, n, ex.from_planes(d, n, _ID), ex.from_planes(d[_ID * n :], n, _ID), ex.from_small(d[2 * _ID * n :], n, 4).astype(np.int64)) for c, n, d in ex.asked(asking, PAIRS)]
         v, w, count = (np.concatenate([p[k] for p in self.parts]) for k in (2, 3, 4))
         h = _pair_hash(v, w)
         order, starts = ex.groups(h)
@@ -167,15 +167,15 @@ class _Pairs:
         self.v, self.w, self.count, self.keys = v[one][seen], w[one][seen], count[seen], h[one][seen]
 
 
-def _answer_pairs(bucket: int, table: pa.Table, folder: str | None) -> list[tuple]:
-    p = _Pairs(table)
+def _answer_pairs(bucket: int, asking: list[ex.Part], folder: str | None) -> list[ex.Part]:
+    p = _Pairs(asking)
     shard = Shard(p.keys, [p.count], folder)
-    return [(c, PAIRS, bucket, ex.small(shard.find(_pair_hash(v, w))[0], _SUM)) for c, _, v, w, _ in p.parts]
+    return [(c, PAIRS, bucket, n, ex.small(shard.find(_pair_hash(v, w))[0], _SUM)) for c, n, v, w, _ in p.parts]
 
 
-def _parts_of_words(bucket: int, table: pa.Table, buckets: int) -> list[tuple]:
+def _parts_of_words(bucket: int, asking: list[ex.Part], buckets: int) -> list[ex.Part]:
     """What a bucket's pairs say of their words, to the words' buckets; and its counts of counts."""
-    p = _Pairs(table)
+    p = _Pairs(asking)
     word = np.concatenate([p.v, p.w])
     n = np.zeros((4, len(word)), dtype=np.int64)
     for k in range(3):
@@ -185,39 +185,39 @@ def _parts_of_words(bucket: int, table: pa.Table, buckets: int) -> list[tuple]:
     n = np.add.reduceat(n[:, order], starts, axis=1) if len(starts) else n
     keys = word[order][starts]
     rows = ex.asks(bucket, PARTS, ex.bucket_bounds(keys, buckets), lambda a, z: ex.planes(keys[a:z], _ID) + b"".join(ex.small(x[a:z], _SUM) for x in n))
-    return [*rows, (0, bucket, COUNTS, 1, np.array([(p.count == k).sum() for k in (1, 2, 3, 4)], dtype="<i8").tobytes())]
+    return [*rows, (bucket, COUNTS, 0, 1, np.array([(p.count == k).sum() for k in (1, 2, 3, 4)], dtype="<i8").tobytes())]
 
 
 class _Words:
     """A bucket's words."""
 
-    def __init__(self, table: pa.Table):
-        self.parts = [(c, n, ex.from_planes(d, n, 8), ex.from_small(d[8 * n :], n, 4).astype(np.int64)) for c, n, d in ex.asked(table, WORDS)]
+    def __init__(self, asking: list[ex.Part]):
+        self.parts = [(c, n, ex.from_planes(d, n, 8), ex.from_small(d[8 * n :], n, 4).astype(np.int64)) for c, n, d in ex.asked(asking, WORDS)]
         keys = np.concatenate([np.zeros(0, tn.U64), *(p[2] for p in self.parts)])
         count = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in self.parts)])
         order, starts = ex.groups(keys)
         count = np.add.reduceat(count[order], starts) if len(starts) else count
         self.keys, self.count = keys[order][starts][count > 0], count[count > 0]
-        found = [(ex.from_planes(d, n, _ID), [ex.from_small(d[(_ID + _SUM * k) * n :], n, _SUM).astype(np.int64) for k in range(4)]) for _, n, d in ex.asked(table, PARTS)]
+        found = [(ex.from_planes(d, n, _ID), [ex.from_small(d[(_ID + _SUM * k) * n :], n, _SUM).astype(np.int64) for k in range(4)]) for _, n, d in ex.asked(asking, PARTS)]
         keys = np.concatenate([np.zeros(0, tn.U64), *(f[0] for f in found)])
         n = np.concatenate([np.zeros((4, 0), np.int64), *(np.array(f[1]) for f in found)], axis=1)
         order, starts = ex.groups(keys)
         self.n = np.add.reduceat(n[:, order], starts, axis=1) if len(starts) else n
         self.followed = keys[order][starts]
-        self.counts = sum((np.frombuffer(d, "<i8") for _, _, d in ex.asked(table, COUNTS)), np.zeros(4, np.int64))
+        self.counts = sum((np.frombuffer(d, "<i8") for _, _, d in ex.asked(asking, COUNTS)), np.zeros(4, np.int64))
 
 
-def _answer_words(bucket: int, table: pa.Table, folder: str | None) -> list[tuple]:
-    b = _Words(table)
+def _answer_words(bucket: int, asking: list[ex.Part], folder: str | None) -> list[ex.Part]:
+    b = _Words(asking)
     shard, smoothing = Shard(b.keys, [b.count], folder), Shard(b.followed, list(b.n), folder)
-    return [(c, WORDS, bucket, b"".join(ex.small(x, _SUM) for x in (*shard.find(keys), *smoothing.find(keys & _LOW)))) for c, _, keys, _ in b.parts]
+    return [(c, WORDS, bucket, n, b"".join(ex.small(x, _SUM) for x in (*shard.find(keys), *smoothing.find(keys & _LOW)))) for c, n, keys, _ in b.parts]
 
 
 _TOTALS = ["tokens", "distinct", "follows", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "more"]
 
 
-def _totals(bucket: int, table: pa.Table) -> pa.Table:
-    b = _Words(table)
+def _totals(bucket: int, asking: list[ex.Part]) -> pa.Table:
+    b = _Words(asking)
     follows = b.n[3]
     return pa.table({k: [int(x)] for k, x in zip(_TOTALS, [b.count.sum(), len(b.count), follows.sum(), *b.counts, *((follows == k).sum() for k in (1, 2, 3, 4)), (follows > 2).sum()], strict=True)})
 
@@ -244,19 +244,19 @@ def probabilities(pair: np.ndarray, context: np.ndarray, rest: np.ndarray, follo
     return np.where(known, np.maximum(pair - d[np.minimum(pair, 3)], 0) / c + back * lower, lower)
 
 
-def _scores(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+def _scores(table: pa.Table, answers: list[ex.Part], buckets: int) -> pa.Table:
     if not table.num_rows:  # totals for a chunk without documents
         return _result(table["doc_id"], table["held_out"], [[]] * 5)
     c = _Chunk(table)
     pair_place = c.pairs(buckets)[-1]
     release()
-    pair = np.concatenate([np.zeros(0, np.int64), *(ex.from_small(d, len(d) // _SUM, _SUM).astype(np.int64) for d in _each(answers, PAIRS))])[pair_place]
+    pair = np.concatenate([np.zeros(0, np.int64), *(ex.from_small(d, len(d) // _SUM, _SUM).astype(np.int64) for d in ex.each_answer(answers, PAIRS))])[pair_place]
     del pair_place
     keys, _, place, begin = c.words()
     c.token = c.before = c.learn = None
     release()
-    stats = np.concatenate([[ex.from_small(d[len(d) // 5 * k :], len(d) // 5 // _SUM, _SUM).astype(np.int64) for k in range(5)] for d in _each(answers, WORDS)], axis=1)
-    t = dict(zip(_TOTALS, map(int, next(_each(answers, TOTALS)).decode().strip("[]").split(",")), strict=True))
+    stats = np.concatenate([[ex.from_small(d[len(d) // 5 * k :], len(d) // 5 // _SUM, _SUM).astype(np.int64) for k in range(5)] for d in ex.each_answer(answers, WORDS)], axis=1)
+    t = dict(zip(_TOTALS, map(int, bytes(next(ex.each_answer(answers, TOTALS))).decode().strip("[]").split(",")), strict=True))
     count, follows = stats[0], stats[4]
     as_context = count.copy()
     as_context[begin] = count[np.searchsorted(keys, END)]  # texts begin as often as they end
@@ -271,11 +271,6 @@ def _scores(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     return _result(table["doc_id"], table["held_out"], [n, known, np.full(len(n), t["tokens"]), base, score])
 
 
-def _each(answers: pa.Table, kind: int):
-    rows = [(b, d) for b, k, d in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["data"], strict=True) if k == kind]
-    return (d.as_py() for _, d in sorted(rows, key=lambda r: r[0]))
-
-
 def _result(ids, out, columns) -> pa.Table:
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     cols = [pa.array(x, pa.int64() if i < 3 else pa.float64()) for i, x in enumerate(columns)]
@@ -286,16 +281,23 @@ def scored(docs: DataFrame, out: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; the rows for which
     `out` holds (by default held_out(doc_id)) are scored but not learned from."""
     out = held_out(F.col("doc_id")) if out is None else out
-    count = ex.chunk_count(docs, CHUNK_BYTES)
-    chunks = ex.chunked(docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("learn")), count)
-    pairs = ex.chunk_asks(chunks, lambda c, t: _ask_pairs(c, t, count))
-    parts = pairs.groupBy("bucket").applyInArrow(lambda key, t: ex.released(ex.ask_table(_parts_of_words(key[0].as_py(), t, count))), ex.ASK)
-    words = ex.chunk_asks(chunks, lambda c, t: _ask_words(c, t, count)).unionByName(parts)
-    sums = words.groupBy("bucket").applyInArrow(lambda key, t: ex.released(_totals(key[0].as_py(), t)), ", ".join(f"{k} bigint" for k in _TOTALS))
+    r = ex.route(docs, CHUNK_BYTES)
+    chunks = ex.chunked(docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("learn")), r.chunks)
+    pairs = ex.chunk_asks(chunks, r, lambda c, t: _ask_pairs(c, t, r.buckets))
+    parts = ex.bucket_asks(pairs, r, lambda b, p: _parts_of_words(b, p, r.buckets))
+    words = ex.chunk_asks(chunks, r, lambda c, t: _ask_words(c, t, r.buckets)).unionByName(parts)
+    sums = ex.by_bucket(words, r, _totals, ", ".join(f"{k} bigint" for k in _TOTALS))
     totals = sums.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _TOTALS])
     # the one row of totals, to every chunk
-    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("chunk"), F.lit(TOTALS).alias("kind"), F.lit(0).alias("bucket"), F.to_json(F.array(*_TOTALS)).cast("binary").alias("data"))
+    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(r.chunks - 1))).alias("c"), F.to_json(F.array(*_TOTALS)).alias("totals")).mapInArrow(_as_parts, ex.PACKED)
     folder = mounted(shared_folder(docs.sparkSession))
-    answered = ex.bucket_answers(pairs, lambda b, t: _answer_pairs(b, t, folder)).unionByName(ex.bucket_answers(words, lambda b, t: _answer_words(b, t, folder))).unionByName(totals)
+    answered = ex.bucket_answers(pairs, r, lambda b, p: _answer_pairs(b, p, folder)).unionByName(ex.bucket_answers(words, r, lambda b, p: _answer_words(b, p, folder)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ex.with_answers(chunks, answered, lambda c, t, a: _scores(t, a, count), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return ex.with_answers(chunks, answered, r, lambda c, t, a: _scores(t, a, r.buckets), schema, totals)
+
+
+def _as_parts(batches):
+    for b in batches:
+        for c, totals in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            yield from ex.rows_of([(c, TOTALS, 0, 1, totals.encode())], 1, 1).to_batches()

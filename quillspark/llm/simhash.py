@@ -16,7 +16,8 @@ share a name, so no group there can grow.
 Rows: null and empty texts, and texts without words, have fingerprint zero and are linked
 like any other; texts of fewer words than a shingle are one shingle; repeated rows share
 their component; rows of a null doc_id are listed with the component of their
-fingerprint, null if no row with an id reaches it; an empty table gives an empty result.
+fingerprint, null if no row with an id reaches it; extra columns are ignored; an empty table
+gives an empty result. A text is held by one task, with a hash for each of its shingles.
 """
 
 from __future__ import annotations
@@ -154,24 +155,31 @@ def links(fps: DataFrame, radius: int, blocks: int, hot: int = 4096) -> DataFram
     sizes = shards.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
     shards = shards.join(sizes, ["mask", "value"])
 
-    def run(batches):
-        tables = [t for b in batches if (t := pa.Table.from_batches([b])).num_rows]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
+    def trees(rows: list[pa.Table], last: bool):
+        """Links of the shards that are whole, and what may be the beginning of the next."""
+        t = pa.concat_tables(rows)
         mask, value, fp = (t[c].to_numpy() for c in ("mask", "value", "fp"))
-        order = np.lexsort((fp, value, mask))
-        mask, value, fp = mask[order], value[order], fp[order]
         edge = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
+        ends = [*edge[1:].tolist(), *[len(fp)] * last]
         unsigned = fp.view(np.uint64).tolist()
         a, b = [], []
-        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(fp)], strict=True):
+        for lo, hi in zip(edge.tolist(), ends, strict=False):
             for i, j in spanning_links(unsigned[lo:hi], radius):
                 a.append(fp[lo + i])
                 b.append(fp[lo + j])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"]), t.slice(edge[-1])
 
-    cold = shards.where(F.col("n") <= hot).select("mask", "value", "fp").repartition(parts, "mask", "value").mapInArrow(run, "a bigint, b bigint")
+    def run(batches):
+        open_shard = []
+        for b in batches:
+            if b.num_rows:
+                found, rest = trees([*open_shard, pa.Table.from_batches([b])], False)
+                open_shard = [rest]
+                yield found
+        if open_shard:
+            yield trees(open_shard, True)[0]
+
+    cold = shards.where(F.col("n") <= hot).select("mask", "value", "fp").repartition(parts, "mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(run, "a bigint, b bigint")
     rest = shards.where(F.col("n") > hot)
     return cold.unionByName(_by_names(rest.select("fp").distinct()) if radius == 2 else _in_blocks(rest, radius, hot))
 
@@ -210,20 +218,27 @@ def _in_blocks(shards: DataFrame, radius: int, size: int) -> DataFrame:
     return pairs.groupBy("mask", "value", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8, few: int = 8, hot: int = 4096) -> DataFrame:
+def blocks_for(rows: int, radius: int) -> int:
+    """Blocks to cut 64 bits into, so that a shard of fingerprints at random has about a thousand at most."""
+    blocks = radius + 1
+    while rows >> (64 * (blocks - radius) // blocks) > 1024 and blocks < 2 * radius + 4:
+        blocks += 1
+    return blocks
+
+
+def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int | None = None, few: int = 8, hot: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
     fps = durable(fingerprints(docs, shingle, few))
+    blocks = blocks or blocks_for(fps.count(), radius)
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(distinct.select("fp"), radius, blocks, hot))
-    joined = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "rep")
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = joined.join(least, "component").select("fp", "component_id")
+    found = components(links(distinct.select("fp"), radius, blocks, hot), distinct.select(F.col("fp").alias("node"), F.col("rep").alias("rank")))
+    by_fp = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("rank")).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every row: three-word shingles, links within two bits."""
-    g = grouped(docs, shingle=3, radius=2, blocks=3, few=0)
+    g = grouped(docs, shingle=3, radius=2, few=0)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

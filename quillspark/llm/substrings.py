@@ -14,7 +14,8 @@ bits: over n distinct runs the chance of any mistake is about n^2 / 2^65.
 
 Rows: null and empty texts have no words; a null doc_id counts as larger than all others;
 rows of equal doc_id never dedupe each other; extra columns pass through repeats() as
-they are; an empty table gives an empty result.
+they are, but for n_words and n_removed, which it returns itself; an empty table gives an
+empty result. A text is held by one task, and rows equal in doc_id and text by the same one.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class _Chunk:
         return runs, tn.windows(self.words, RUN, 1)[runs]
 
 
-def _ask_blocks(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
+def _ask_blocks(chunk: int, table: pa.Table, buckets: int) -> list[ex.Part]:
     _, h, block = _Chunk(table).probes()
     order, starts = ex.groups(h)
     keys = h[order][starts]
@@ -80,8 +81,8 @@ def _ask_blocks(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
     return ex.asks(chunk, 0, ex.bucket_bounds(keys, buckets), lambda lo, hi: ex.planes(keys[lo:hi], _SCREEN) + flags[lo:hi].astype(np.uint8).tobytes())
 
 
-def _answer_blocks(bucket: int, table: pa.Table) -> list[tuple]:
-    parts = [(c, n, ex.from_planes(d, n, _SCREEN), np.frombuffer(d, np.uint8)[n * _SCREEN :]) for c, n, d in ex.asked(table, 0)]
+def _answer_blocks(bucket: int, asking: list[ex.Part]) -> list[ex.Part]:
+    parts = [(c, n, ex.from_planes(d, n, _SCREEN), np.frombuffer(d, np.uint8)[n * _SCREEN :]) for c, n, d in ex.asked(asking, 0)]
     keys, flags = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     order, starts = ex.groups(keys)
     hit = (np.add.reduceat((flags & 3)[order].astype(np.int64), starts) > 1) & (np.maximum.reduceat(flags[order], starts) >= 4)
@@ -89,15 +90,15 @@ def _answer_blocks(bucket: int, table: pa.Table) -> list[tuple]:
     return _by_chunk(parts, hit, 0, bucket)
 
 
-def _by_chunk(parts, values: np.ndarray, kind: int, bucket: int) -> list[tuple]:
+def _by_chunk(parts, values: np.ndarray, kind: int, bucket: int) -> list[ex.Part]:
     out, at = [], 0
     for p in parts:
-        out.append((p[0], kind, bucket, values[at : at + p[1]].astype(np.uint8).tobytes()))
+        out.append((p[0], kind, bucket, p[1], values[at : at + p[1]].astype(np.uint8).tobytes()))
         at += p[1]
     return out
 
 
-def _runs(c: _Chunk, answers: pa.Table):
+def _runs(c: _Chunk, answers: list[ex.Part]):
     """Candidate runs: starts, hashes, their sorting, distinct hashes and the smallest id of each."""
     at, h, _ = c.probes()
     at, h = c.candidates(at[ex.spread(*ex.groups(h), np.frombuffer(ex.answers(answers, 0), np.uint8)) > 0])
@@ -107,21 +108,21 @@ def _runs(c: _Chunk, answers: pa.Table):
     return at, h[order][starts], order, starts, ids, least
 
 
-def _ask_runs(chunk: int, table: pa.Table, answers: pa.Table, buckets: int) -> list[tuple]:
+def _ask_runs(chunk: int, table: pa.Table, answers: list[ex.Part], buckets: int) -> list[ex.Part]:
     _, keys, _, _, _, least = _runs(_Chunk(table), answers)
     # ids as offset binary, so that their bytes sort and small ids compress
     return ex.asks(chunk, 1, ex.bucket_bounds(keys, buckets), lambda lo, hi: ex.planes(keys[lo:hi], 8) + ex.small(least[lo:hi].view(np.uint64), 8))
 
 
-def _answer_runs(bucket: int, table: pa.Table) -> list[tuple]:
-    parts = [(c, n, ex.from_planes(d[: 8 * n], n, 8), ex.from_small(d[8 * n :], n, 8).view(np.int64)) for c, n, d in ex.asked(table, 1)]
+def _answer_runs(bucket: int, asking: list[ex.Part]) -> list[ex.Part]:
+    parts = [(c, n, ex.from_planes(d[: 8 * n], n, 8), ex.from_small(d[8 * n :], n, 8).view(np.int64)) for c, n, d in ex.asked(asking, 1)]
     keys, least = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     order, starts = ex.groups(keys)
     smallest = ex.spread(order, starts, np.minimum.reduceat(least[order], starts))
     return _by_chunk(parts, smallest < least, 1, bucket)
 
 
-def _removed(c: _Chunk, answers: pa.Table) -> np.ndarray:
+def _removed(c: _Chunk, answers: list[ex.Part]) -> np.ndarray:
     """For each word of the chunk: is it covered by a run that a smaller doc_id holds?"""
     at, _, order, starts, ids, least = _runs(c, answers)
     earlier = np.frombuffer(ex.answers(answers, 1), np.uint8).astype(bool)
@@ -148,17 +149,17 @@ def _kept(c: _Chunk, gone: np.ndarray):
 
 
 def _finish(docs: DataFrame, make, schema: str) -> DataFrame:
-    count = ex.chunk_count(docs)
-    chunks = ex.chunked(docs, count)
-    hits = ex.bucket_answers(ex.chunk_asks(chunks, lambda c, t: _ask_blocks(c, t, count)), _answer_blocks)
-    found = ex.bucket_answers(ex.chunk_asks_again(chunks, hits, lambda c, t, a: _ask_runs(c, t, a, count)), _answer_runs)
-    return ex.with_answers(chunks, hits.unionByName(found), lambda c, t, a: make(t, a), schema)
+    r = ex.route(docs)
+    chunks = ex.chunked(docs, r.chunks)
+    hits = ex.bucket_answers(ex.chunk_asks(chunks, r, lambda c, t: _ask_blocks(c, t, r.buckets)), r, _answer_blocks)
+    found = ex.bucket_answers(ex.chunk_asks_again(chunks, hits, r, lambda c, t, a: _ask_runs(c, t, a, r.buckets)), r, _answer_runs)
+    return ex.with_answers(chunks, hits.unionByName(found), r, lambda c, t, a: make(t, a), schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """docs with text replaced by its kept words (joined by a space; unchanged where none is removed),
     and n_words, n_removed."""
-    names = [f.name for f in docs.schema if f.name not in ("chunk", "n_words", "n_removed")]
+    names = [f.name for f in docs.schema if f.name not in ("n_words", "n_removed")]
     docs = docs.select(*[F.col(f"`{n}`") for n in names])
 
     def make(table, answers):

@@ -99,7 +99,7 @@ def _cut(h: np.ndarray) -> np.ndarray:
     return h & tn.U64((1 << 64) - (1 << 8 * (8 - _SCREEN)))
 
 
-def _ask_anchors(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
+def _ask_anchors(chunk: int, table: pa.Table, buckets: int) -> list[ex.Part]:
     """Distinct anchors, each with its number of different stretches and whether it stands more than once."""
     got = [(p.anchor_hash, p.identity(slice(None))) for p in _parts(table) if len(p.first)]
     if not got:
@@ -115,9 +115,9 @@ def _ask_anchors(chunk: int, table: pa.Table, buckets: int) -> list[tuple]:
     return ex.asks(chunk, 0, ex.bucket_bounds(keys, buckets), lambda lo, hi: ex.planes(keys[lo:hi], _SCREEN) + ex.small(value[lo:hi], 2))
 
 
-def _answer_anchors(bucket: int, table: pa.Table, hot: int) -> list[tuple]:
+def _answer_anchors(bucket: int, asking: list[ex.Part], hot: int) -> list[ex.Part]:
     """0: stands once; 1: recurs; 2: recurs with very many different stretches."""
-    parts = [(c, n, ex.from_planes(d, n, _SCREEN), ex.from_small(d[n * _SCREEN :], n, 2)) for c, n, d in ex.asked(table, 0)]
+    parts = [(c, n, ex.from_planes(d, n, _SCREEN), ex.from_small(d[n * _SCREEN :], n, 2)) for c, n, d in ex.asked(asking, 0)]
     keys, value = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
     order, starts = ex.groups(keys)
     different = np.add.reduceat(value[order] >> 1, starts)
@@ -125,7 +125,7 @@ def _answer_anchors(bucket: int, table: pa.Table, hot: int) -> list[tuple]:
     verdict = ex.spread(order, starts, recurs.astype(np.uint8) + (recurs & (different > hot)))
     out, at = [], 0
     for c, n, *_ in parts:
-        out.append((c, 0, bucket, verdict[at : at + n].astype(np.uint8).tobytes()))
+        out.append((c, 0, bucket, n, verdict[at : at + n].astype(np.uint8).tobytes()))
         at += n
     return out
 
@@ -133,7 +133,7 @@ def _answer_anchors(bucket: int, table: pa.Table, hot: int) -> list[tuple]:
 class _Chunk:
     """A chunk's stretches that recur by anchor, and the strings of its hot anchors."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table):
+    def __init__(self, table: pa.Table, answers: list[ex.Part]):
         self.parts = list(_parts(table))
         keys = np.concatenate([np.zeros(0, tn.U64), *(_cut(p.anchor_hash) for p in self.parts)])
         verdict = ex.spread(*ex.groups(keys), np.frombuffer(ex.answers(answers, 0), np.uint8))
@@ -165,7 +165,7 @@ class _Chunk:
         return out
 
 
-def _ask_stretches(chunk: int, table: pa.Table, answers: pa.Table, buckets: int) -> list[tuple]:
+def _ask_stretches(chunk: int, table: pa.Table, answers: list[ex.Part], buckets: int) -> list[ex.Part]:
     c = _Chunk(table, answers)
     chosen = c.order[c.starts]
     several = np.diff(np.concatenate([c.starts, [len(c.order)]])) > 1
@@ -212,10 +212,10 @@ def recurring(anchor: np.ndarray, left: np.ndarray, count: np.ndarray, several:
     return out
 
 
-def _answer_stretches(bucket: int, table: pa.Table) -> list[tuple]:
+def _answer_stretches(bucket: int, asking: list[ex.Part]) -> list[ex.Part]:
     out = []
     parts = []
-    for c, n, d in ex.asked(table, 1):
+    for c, n, d in ex.asked(asking, 1):
         parts.append((c, n, ex.from_planes(d, n, 8), *(ex.from_small(d[n * k :], n, 1).astype(np.int64) for k in (8, 9, 10)), np.frombuffer(d, np.uint8)[11 * n :]))
     if parts:
         anchor, left, count, several = (np.concatenate([p[k] for p in parts]) for k in range(2, 6))
@@ -237,29 +237,29 @@ def _answer_stretches(bucket: int, table: pa.Table) -> list[tuple]:
             offset = np.repeat(lf, ct) - (np.arange(ct.sum()) - np.repeat(np.concatenate([[0], np.cumsum(ct)[:-1]]), ct))
             # padded to whole bytes for each bucket, so a length goes along
             bits = f[row, offset]
-            out.append((c, 1, bucket, len(bits).to_bytes(4, "little") + np.packbits(bits).tobytes()))
+            out.append((c, 1, bucket, n, len(bits).to_bytes(4, "little") + np.packbits(bits).tobytes()))
             at += n
-    parts = [(c, n, ex.from_planes(d, n, 8), np.frombuffer(d, np.uint8)[8 * n :]) for c, n, d in ex.asked(table, 2)]
+    parts = [(c, n, ex.from_planes(d, n, 8), np.frombuffer(d, np.uint8)[8 * n :]) for c, n, d in ex.asked(asking, 2)]
     if parts:
         keys, often = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
         order, first = ex.groups(keys)
         again = ex.spread(order, first, (np.diff(np.concatenate([first, [len(keys)]])) > 1) | (np.maximum.reduceat(often[order], first) > 0))
         at = 0
         for c, n, *_ in parts:
-            out.append((c, 2, bucket, again[at : at + n].astype(np.uint8).tobytes()))
+            out.append((c, 2, bucket, n, again[at : at + n].astype(np.uint8).tobytes()))
             at += n
     return out
 
 
-def _bits(table: pa.Table) -> np.ndarray:
+def _bits(answers: list[ex.Part]) -> np.ndarray:
     out = [np.zeros(0, bool)]
-    for _, d in sorted((b, d.as_py()) for b, k, d in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["data"], strict=True) if k == 1):
+    for d in ex.each_answer(answers, 1):
         n = int.from_bytes(d[:4], "little")
         out.append(np.unpackbits(np.frombuffer(d, np.uint8)[4:], count=n).astype(bool))
     return np.concatenate(out)
 
 
-def covered(table: pa.Table, answers: pa.Table):
+def covered(table: pa.Table, answers: list[ex.Part]):
     """For each run of rows: (first row, bytes, offsets, which bytes a recurring string covers)."""
     c = _Chunk(table, answers)
     starts_by_part: list[list[np.ndarray]] = [[] for _ in c.parts]
@@ -286,11 +286,11 @@ def covered(table: pa.Table, answers: pa.Table):
 
 
 def _finish(docs: DataFrame, make, schema: str, hot: int) -> DataFrame:
-    count = ex.chunk_count(docs)
-    chunks = ex.chunked(docs, count)
-    anchors = ex.bucket_answers(ex.chunk_asks(chunks, lambda c, t: _ask_anchors(c, t, count)), lambda b, t: _answer_anchors(b, t, hot))
-    found = ex.bucket_answers(ex.chunk_asks_again(chunks, anchors, lambda c, t, a: _ask_stretches(c, t, a, count)), _answer_stretches)
-    return ex.with_answers(chunks, anchors.unionByName(found), lambda c, t, a: make(t, a), schema)
+    r = ex.route(docs)
+    chunks = ex.chunked(docs, r.chunks)
+    anchors = ex.bucket_answers(ex.chunk_asks(chunks, r, lambda c, t: _ask_anchors(c, t, r.buckets)), r, lambda b, p: _answer_anchors(b, p, hot))
+    found = ex.bucket_answers(ex.chunk_asks_again(chunks, anchors, r, lambda c, t, a: _ask_stretches(c, t, a, r.buckets)), r, _answer_stretches)
+    return ex.with_answers(chunks, anchors.unionByName(found), r, lambda c, t, a: make(t, a), schema)
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:

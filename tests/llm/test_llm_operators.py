@@ -127,6 +127,18 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.judged(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_ids(spark, docs):
+    """Items of a null id hit words and count as one, without a place in the list of ids."""
+    passage = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, passage), (2, "other words"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, passage), ("b", passage), ("a", passage + " end"), ("c", None)], "item_id string, text string")
+    for kwargs in ({}, {"block_bytes": 1, "passes": 2}):
+        got = {r.doc_id: r for r in decontaminate.matches(docs, bench, **kwargs).collect()}
+        assert got[1]["items"] == ["a", "b", None] and got[1]["hits"] == [(0, 20)] and got[2]["items"] == got[3]["items"] == []
+    r = {r.doc_id: r for r in decontaminate.digests(docs, bench).collect()}[1]
+    assert (r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (20, 3, plain.sha(b"a,b"), True)
+
+
 def test_bpe(docs, rows, empty):
     import tiktoken
 
