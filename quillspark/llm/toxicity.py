@@ -11,7 +11,9 @@ training part. Scoring covers whole texts.
 
 Rows: null and empty texts score the classifier's intercept; a null doc_id counts as the
 empty id text; repeated rows are scored each; with no toxic label to learn from all
-scores are the class prior, and 0 without labels; an empty table gives an empty result.
+scores are the class prior, and 0 without labels; extra columns pass through scored() as they
+are, but for score and predicted, which it returns itself; an empty table gives an empty
+result. A text is held by one task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ STEMS = (4, 5, 6)
 _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _SIEVE = 1 << 20
+#: least share of the toxic sample that a feature marks; weight decay, in toxic texts of the sample
+SHARE, DECAY = 0.02, 0.3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,7 +109,8 @@ def fit(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, width: int, pr
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, positives: int = 2000, unlabelled: int = 8000, least: int = 3) -> Model:
     """The classifier from the rows of docs and labels (doc_id, toxic) for which learn_from holds
     (by default those not held out). A feature stands in `least` toxic texts at least and is
-    likelier than three in ten to mark one, beyond four standard deviations of chance."""
+    in a fiftieth of the sampled ones, and is likelier than three in ten to mark one, beyond four
+    standard deviations of chance."""
     learn_from = ~held_out(F.col("doc_id")) if learn_from is None else learn_from
     labels = labels.where(learn_from)
     total = labels.agg(F.count("toxic").alias("n"), F.sum(F.col("toxic").cast("long")).alias("t")).first()
@@ -158,13 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     telling = prior * (n / max(n_toxic, 1)) / ((in_plain + 0.5) / max(n_plain, 1)) >= 0.3
     # and more toxic texts with it than chance gives
     chance = n_toxic * in_plain / max(n_plain, 1)
-    telling &= n >= chance + 4 * np.sqrt(chance + 0.5)
+    telling &= (n >= chance + 4 * np.sqrt(chance + 0.5)) & (n >= SHARE * n_toxic)
     keys = keys[telling]
     found_in = sorted((not r.toxic, r.places) for r in places(keys).collect())
     at = [p for _, p in found_in]
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
-    w, b = fit(rows, cols, np.array([not plain for plain, _ in found_in], dtype=bool), len(keys), prior)
+    w, b = fit(rows, cols, np.array([not plain for plain, _ in found_in], dtype=bool), len(keys), prior, decay=DECAY / max(n_toxic, 1))
     return Model(keys, w, b)
 
 
