@@ -3,13 +3,17 @@
 Each document's character-class and common-word histograms are held against references
 of its likeliest language by Jensen-Shannon distance (square root of the divergence in
 bits, 0 to 1). The references are the summed histograms of all documents of a language
-that pass the base rules. Minimum lengths guard both tests: a short text has too few
-characters or words for its histogram to mean anything, so it is not failed by it.
-
-Rows: null texts have no words and fail the base rules; empty tables give empty results
-and, as references, tables of zeros, against which nothing fails; rows of an unlisted or
-null language form no reference but are judged like others; repeated rows are answered
-each.
+that pass the base rules and the method's own verdict by first references, summed over
+all that pass the base rules: so junk doesn't move what it is held against. The largest
+character distance is wider for shorter texts, whose histograms stray more by chance.
+Minimum lengths guard both tests: a short text has too few characters or words for its
+histogram to mean anything, so it is not failed by it.
+
+Rows: null and empty texts have no words and fail the base rules; empty tables give empty
+results and, as references, tables of zeros, against which nothing fails; rows of an
+unlisted or null language form no reference but are judged like others; equal distances
+to several languages go to the first in the order of their names; repeated rows are
+answered each; extra columns are ignored. A text is held by one task.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: fixed values of the method: guards and largest distances
 MIN_CHARS, MIN_COMMON_WORDS = 200, 250
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.335
+MAX_WORD_DISTANCE = 0.335
+#: largest character distance: the first number, and the second over the square root of the characters
+CHAR_DISTANCE, CHAR_STRAY = 0.13, 2.0
 
 LANGS = sorted(COMMON)
 WORDS = sorted({w for t in COMMON.values() for w in t.split()})
@@ -49,14 +55,14 @@ _IS_NEWLINE[0x0A] = True
 
 
 def _class_table() -> np.ndarray:
-    """By byte: lower, upper, digit, space, mark, symbol, other letter, other script, control; -1 inside a character."""
+    """By byte: lower, upper, digit, space, mark, symbol, Latin letter with an accent, other script, control; -1 inside a character."""
     t = np.full(256, 8, dtype=np.int64)
     t[0x61:0x7B], t[0x41:0x5B], t[0x30:0x3A] = 0, 1, 2
     t[tn.SPACE] = 3
     for b in range(0x21, 0x7F):
         if not chr(b).isalnum():
             t[b] = 4 if chr(b) in ".,;:!?'\"()-" else 5
-    t[0x80:0xC0], t[0xC0:0xE0], t[0xE0:] = -1, 6, 7
+    t[0x80:0xC0], t[0xC0:], t[0xC3:0xCA] = -1, 7, 6
     return t
 
 
@@ -79,6 +85,9 @@ def histograms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     row = np.repeat(np.arange(n), np.diff(offs))
     real = kind >= 0
     chars = np.bincount(row[real] * CLASSES + kind[real], minlength=n * CLASSES).reshape(n, CLASSES)
+    curly = row[:-1][(buf[:-1] == 0xE2) & (buf[1:] == 0x80)]  # U+2000 to U+203F: dashes, quotes, ellipses are marks
+    np.add.at(chars, (curly, 7), -1)
+    np.add.at(chars, (curly, 4), 1)
     low = tn.LOWER[buf]
     s, e, r = tn.spans(low, offs, _NOT_LETTER)
     keys, order = _common_hashes()
@@ -141,8 +150,28 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(sp[:, 0] > 0, np.sqrt(np.clip(d / 2, 0, 1)), 0)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms by language over all documents that pass the base rules: len(LANGS) rows, whatever the input."""
+Refs = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def verdict(chars: np.ndarray, words: np.ndarray, refs: Refs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(character distance, word distance, fails) of rows of histograms, by the language whose words are nearest."""
+    held = [x for x in LANGS if refs[x][0].any()] or LANGS  # languages without documents are no reference
+    by_word = np.array([distance(words, refs[x][1]) for x in held])
+    like, rows = by_word.argmin(axis=0), np.arange(len(chars))
+    cd, wd = np.array([distance(chars, refs[x][0]) for x in held])[like, rows], by_word[like, rows]
+    n_chars, n_words = chars.sum(axis=1), words.sum(axis=1)
+    strange = (n_chars >= MIN_CHARS) & (cd > CHAR_DISTANCE + CHAR_STRAY / np.sqrt(np.maximum(n_chars, 1)))
+    return cd, wd, strange | ((n_words >= MIN_COMMON_WORDS) & (wd > MAX_WORD_DISTANCE))
+
+
+def references(docs: DataFrame) -> Refs:
+    """Summed histograms by language over all documents that pass the base rules and first references."""
+    return summed(docs, summed(docs))
+
+
+def summed(docs: DataFrame, first: Refs | None = None) -> Refs:
+    """Histograms summed over all documents that pass the base rules, and `first` where given: len(LANGS) rows,
+    whatever the input."""
     width = CLASSES + len(WORDS) + 1
 
     def run(batches):
@@ -151,8 +180,10 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             lang = np.array([LANGS.index(x) if x in COMMON else -1 for x in b.column(1).to_pylist()], dtype=np.int64)
             for lo, hi, buf, offs in tn.chunks(b.column(0)):
                 good = (lang[lo:hi] >= 0) & ~base_failed(base_counts(buf, offs))
-                both = np.hstack(histograms(buf, offs))
-                np.add.at(total, lang[lo:hi][good], both[good])
+                chars, words = histograms(buf, offs)
+                if first is not None:
+                    good &= ~verdict(chars, words, first)[2]
+                np.add.at(total, lang[lo:hi][good], np.hstack([chars, words])[good])
         yield pa.RecordBatch.from_arrays([pa.array(LANGS), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["lang", "counts"])
 
     parts = docs.select("text", F.col("lang")).mapInArrow(run, "lang string, counts array<bigint>")
@@ -163,10 +194,9 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {x: (c[:CLASSES], c[CLASSES:]) for x, c in found.items()}
 
 
-def rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+def rules(docs: DataFrame, refs: Refs | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, char_distance, word_distance, kept of every row."""
     refs = references(docs) if refs is None else refs
-    held = [x for x in LANGS if refs[x][0].any()] or LANGS  # languages without documents are no reference
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -176,12 +206,7 @@ def rules(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None
                 c = base_counts(buf, offs)
                 failed = base_failed(c)
                 chars, words = histograms(buf, offs)
-                by_word = np.array([distance(words, refs[x][1]) for x in held])
-                like = by_word.argmin(axis=0)
-                by_char = np.array([distance(chars, refs[x][0]) for x in held])
-                rows = np.arange(len(failed))
-                cd, wd = by_char[like, rows], by_word[like, rows]
-                bad = ((chars.sum(axis=1) >= MIN_CHARS) & (cd > MAX_CHAR_DISTANCE)) | ((words.sum(axis=1) >= MIN_COMMON_WORDS) & (wd > MAX_WORD_DISTANCE))
+                cd, wd, bad = verdict(chars, words, refs)
                 for k, v in (*c.items(), ("base_failed", failed), ("char_distance", cd), ("word_distance", wd), ("kept", ~failed & ~bad)):
                     out[k].append(v)
             if not out["kept"]:

@@ -1,6 +1,7 @@
 """Plain restatements of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -107,3 +108,63 @@ def base_quality(text):
         at.setdefault(tuple(w[k : k + 5]), []).append(k)
     again = {j for v in at.values() if len(v) > 1 for k in v for j in range(k, k + 5)}
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w))
+
+
+def char_class(c):
+    o = ord(c)
+    if "a" <= c <= "z" or "A" <= c <= "Z" or "0" <= c <= "9":
+        return 0 if c >= "a" else 1 if c >= "A" else 2
+    if c == " " or 9 <= o <= 13:
+        return 3
+    if o < 128:
+        return 4 if c in ".,;:!?'\"()-" else 5 if 0x20 < o < 0x7F else 8
+    return 4 if 0x2000 <= o <= 0x203F else 6 if 0xC0 <= o <= 0x27F else 7
+
+
+def jensen_shannon(p, q):
+    """Distance of two lists of counts."""
+    if not sum(p) or not sum(q):
+        return 0.0
+    d = 0.0
+    for a, b in zip(p, q, strict=True):
+        a, b = a / sum(p), b / sum(q)
+        m = (a + b) / 2
+        d += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
+    return math.sqrt(min(max(d / 2, 0), 1))
+
+
+def quality_verdicts(rows, common):
+    """(char_distance, word_distance, fails) of rows (text, lang, whether the base rules fail it)."""
+    langs, vocabulary = sorted(common), sorted({w for t in common.values() for w in t.split()})
+
+    def histograms(text):
+        chars, words = [0] * 9, [0] * (len(vocabulary) + 1)
+        for c in text or "":
+            chars[char_class(c)] += 1
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for w in re.findall("[a-z\x80-\U0010ffff]+", lowered):
+            words[vocabulary.index(w) if w in vocabulary else -1] += 1
+        return chars, words
+
+    h = [histograms(t) for t, _, _ in rows]
+
+    def references(use):
+        out = {x: ([0] * 9, [0] * (len(vocabulary) + 1)) for x in langs}
+        for (_, lang, _), both, ok in zip(rows, h, use, strict=True):
+            if ok and lang in out:
+                for total, counts in zip(out[lang], both, strict=True):
+                    total[:] = [a + b for a, b in zip(total, counts, strict=True)]
+        return out
+
+    def judge(refs):
+        held = [x for x in langs if any(refs[x][0])] or langs
+        out = []
+        for chars, words in h:
+            like = min(held, key=lambda x: jensen_shannon(words, refs[x][1]))
+            cd, wd, n = jensen_shannon(chars, refs[like][0]), jensen_shannon(words, refs[like][1]), sum(chars)
+            out.append((cd, wd, (n >= 200 and cd > 0.13 + 2 / math.sqrt(n)) or (sum(words) >= 250 and wd > 0.335)))
+        return out
+
+    passing = [not failed for _, _, failed in rows]
+    first = judge(references(passing))
+    return judge(references([ok and not bad for ok, (_, _, bad) in zip(passing, first, strict=True)]))

@@ -183,6 +183,17 @@ def test_quality(spark, docs, rows, empty):
     assert all(kept[k] for k in range(30)) and not kept[30] and not kept[31] and kept[32]
 
 
+def test_quality_verdicts_equal_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(-k, t, "en") for k, t in enumerate(hard_texts(8, 20), 1)] + [(-100, "“Curly” — quotes… ‘and’ dashes – " * 20, "en"), (-101, "Ελληνικά γράμματα " * 40, "el"), (-102, "the | " * 300, None)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    rows = sorted(quality.rules(docs).join(docs.select("doc_id", "text", "lang"), "doc_id").collect(), key=lambda r: r.doc_id)
+    want = plain.quality_verdicts([(r.text, r.lang, r.base_failed) for r in rows], quality.COMMON)
+    for r, (cd, wd, bad) in zip(rows, want, strict=True):
+        assert (r.char_distance, r.word_distance) == pytest.approx((cd, wd), abs=1e-9) and r.kept == (not r.base_failed and not bad)
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_distance_is_a_metric_on_counts():
     p = np.array([[1, 1, 0], [0, 0, 5], [0, 0, 0]])
     assert quality.distance(p, np.array([2, 2, 0])).tolist() == pytest.approx([0, 1, 0])
