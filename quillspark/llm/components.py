@@ -2,7 +2,11 @@
 
 Each round is two equi-joins and an aggregation over the edges; labels are written to the
 checkpoint folder, which all executors share, so that lineage stays short and a lost
-executor costs one round's tasks. Nothing is collected but one count for each round.
+executor costs one round's tasks. Nothing is collected but counts.
+
+A label that more than HOT nodes share, and more than one in 10^5 of all, is broadcast with its
+own label rather than joined by a shuffle: there are at most 10^5 of these in any graph, and no
+task gathers the nodes of a large component.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .storage import durable
 
+#: nodes that a label may have in the shuffled join, or one in SHARE of all nodes if that is more
+HOT, SHARE = 1000, 100_000
+
 
 def components(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node that each node of an edge can reach.
@@ -24,12 +31,16 @@ def components(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     nodes = both.select(F.col("u").alias("node")).distinct()
     nodes = nodes.withColumn("rank", F.lit(None).cast("long")) if ranks is None else nodes.join(ranks, "node")
     labels = durable(nodes.select("node", F.struct(F.col("rank").isNull().alias("none"), "rank", "node").alias("label")))
+    hot = max(HOT, labels.count() // SHARE)
     while True:
         # the smallest label among the neighbours, then the label of the node that the label names
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        new = durable(hooked.join(jump, hooked.label.node == jump["at"], "left").select("node", "was", F.coalesce("to", "label").alias("label")))
+        hooked = durable(labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"), F.least("label", "m")["node"].alias("at")))
+        jump = hooked.where("node <> at").select(F.col("node").alias("from"), F.col("label").alias("to"))
+        crowded = hooked.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > hot).join(hooked.select(F.col("node").alias("at"), F.col("label").alias("crowd_to")), "at").select("at", "crowd_to")
+        split = hooked.join(F.broadcast(crowded), "at", "left")
+        rest = split.where("crowd_to is null").join(jump, F.col("at") == F.col("from"), "left").select("node", "was", F.coalesce("to", "label").alias("label"))
+        new = durable(split.where("crowd_to is not null").select("node", "was", F.col("crowd_to").alias("label")).unionByName(rest))
         labels = new.select("node", "label")
         if new.where("was <> label").isEmpty():
             return labels.select("node", F.col("label.node").alias("component"), *([] if ranks is None else [F.col("label.rank").alias("rank")]))

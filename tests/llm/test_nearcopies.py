@@ -69,3 +69,27 @@ def test_common_counts():
     sets = [np.unique(r.integers(0, 9000, 3000, dtype=np.uint64)) for _ in range(6)]
     every = np.arange(6)
     assert (nearcopies.common(sets, every, every)[~np.eye(6, dtype=bool)] == [len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j]).all()
+
+
+def test_components_with_crowded_labels(spark, monkeypatch):
+    """Stars, chains and loners, with every label crowded and with none; by the smallest node and by the smallest rank."""
+    from quillspark.llm import components
+
+    r = random.Random(3)
+    edges = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
+    nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    rank = {n: None if n % 7 == 0 else (n * 37) % 1000 for n in nodes}
+    least = {}
+    for n in nodes:
+        least[root[n]] = min(least.get(root[n], (True, 0)), (rank[n] is None, rank[n] or 0))
+    frame = spark.createDataFrame(edges, "a long, b long")
+    ranks = spark.createDataFrame(list(rank.items()), "node long, rank long")
+    for hot in (1, 1000):
+        monkeypatch.setattr(components, "HOT", hot)
+        assert {r.node: r.component for r in components.components(frame).collect()} == root
+        assert {r.node: r["rank"] for r in components.components(frame, ranks).collect()} == {n: None if least[root[n]][0] else least[root[n]][1] for n in nodes}
