@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("texts", "segments", "layout", "relations", "memory", "checks", "exchange", "operations", "books")
+PLANS = ("texts", "segments", "layout", "relations", "memory", "checks", "exchange", "operations", "books", "editorial")
 
 
 def query(oracle: str | None = None, name: str | None = None):

@@ -18,8 +18,8 @@ LONG_PLAIN = {"—": "--", "–": "-", "…": "..."}
 STRUCTURE_WORDS = ("chapter", "part", "book", "prologue", "epilogue", "interlude", "foreword", "preface", "afterword")
 #: fixed values: first and second person pronouns that are no entity
 PERSONAL = ("i", "me", "my", "myself", "we", "us", "our", "ours", "you", "your", "yours", "yourself")
-#: fixed values: the namespace of segment ids (uuid5 of the URL namespace and "trans:segment:v1")
-SEGMENT_NAMESPACE_NAME = "trans:segment:v1"
+#: the namespace of segment ids: uuid5 of the URL namespace and this name
+SEGMENT_NAMESPACE_NAME = "quillspark:segment:v1"
 
 
 def c(col: Column | str) -> Column:

@@ -23,13 +23,14 @@ def sentences(docs: DataFrame, col: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(t.sentences(col)).alias("ordinal", "sentence")).withColumn("ordinal", (F.col("ordinal") + 1).cast("long"))
 
 
-def segment_namespace() -> str:
-    return uuid.uuid5(uuid.NAMESPACE_URL, t.SEGMENT_NAMESPACE_NAME).hex
+def segment_namespace(name: str = t.SEGMENT_NAMESPACE_NAME) -> str:
+    return uuid.uuid5(uuid.NAMESPACE_URL, name).hex
 
 
-def segment_id(project: str, chapter: str, ordinal: str) -> Column:
-    """Stable id of a segment: the same project, chapter and ordinal give the same one."""
-    return t.uuid5(segment_namespace(), F.concat_ws(":", project, chapter, ordinal))
+def segment_id(project: str, chapter: str, ordinal: str, namespace: str = t.SEGMENT_NAMESPACE_NAME) -> Column:
+    """Stable id of a segment: the same project, chapter and ordinal give the same one. Give the name that ids
+    which exist already were made with to get the same ones."""
+    return t.uuid5(segment_namespace(namespace), F.concat_ws(":", project, chapter, ordinal))
 
 
 def source_hash(text: str) -> str:

@@ -53,7 +53,7 @@ def seg_kind_counts(spark, sf):
     return lines.groupBy("lang", t.paragraph_kind("line").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH ns AS (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('trans:segment:v1')) AS h0),
+@query(f"""WITH ns AS (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('quillspark:segment:v1')) AS h0),
 n1 AS (SELECT substr(h0,1,12) || '5' || substr(h0,14,3) || format('{{:x}}', (CAST('0x' || substr(h0,17,1) AS INTEGER) & 3) | 8) || substr(h0,18,15) AS ns FROM ns),
 {LINES}, h AS (SELECT doc_id, line_no, sha1(unhex(ns) || encode(source || ':' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR))) AS h FROM lines, n1)
 SELECT doc_id, CAST(line_no AS BIGINT) AS ordinal, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || format('{{:x}}', (CAST('0x' || substr(h,17,1) AS INTEGER) & 3) | 8) || substr(h,18,3) || '-' || substr(h,21,12) AS segment_id FROM h""")

@@ -56,7 +56,7 @@ def test_markers(spark):
 
 def test_segment_ids_are_uuid5(spark):
     df = spark.createDataFrame([("p", "c", 7)], "p string, c string, n int")
-    space = uuid.uuid5(uuid.NAMESPACE_URL, "trans:segment:v1")
+    space = uuid.uuid5(uuid.NAMESPACE_URL, "quillspark:segment:v1")
     assert df.select(ln.segment_id("p", "c", "n")).first()[0] == str(uuid.uuid5(space, "p:c:7"))
 
 
