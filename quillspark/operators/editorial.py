@@ -358,3 +358,21 @@ def part_groups(chapters: DataFrame, least: int = 4) -> DataFrame:
     g = g.withColumn("parts", F.count("*").over(w)).where("parts >= 2")
     number = F.row_number().over(w.orderBy("start_page")).cast("long")
     return g.select("book", number.alias("part"), "members", "start_page", "end_page", F.round(F.least(F.lit(0.85), 0.6 + 0.05 * F.col("members")), 4).alias("confidence"))
+
+
+def validated(batches: DataFrame, answered: DataFrame, forbidden: list[str], keep: list[str]) -> DataFrame:
+    """The whole suite over answers of a model: batches(batch, want, got) of ids in order, answered(batch, segment_id, source, target)
+    -> (batch, place, kind, segment_id, message, severity, discarded), to be ordered by place: ids, residual marks, then the checks
+    of pairs, then merged targets. An answer with a hard error is discarded as a whole."""
+    from . import validate as va
+
+    ids = id_errors(batches).select("batch", F.lit(0).alias("place"), "kind", "segment_id", F.coalesce(F.col("place").cast("string"), F.lit("")).alias("message"), F.lit(va.HARD).alias("severity"))
+    keyed = answered.select("batch", F.col("segment_id").alias("_id"), F.struct("batch", "segment_id").alias("segment_id"), "source", "target")
+    found = va.errors(keyed, forbidden, keep)
+    place = F.when(F.col("kind") == "internal_token", 1).otherwise(3)
+    rows = found.select(F.col("segment_id.batch").alias("batch"), place.alias("place"), "kind", F.col("segment_id.segment_id").alias("segment_id"), "message", "severity")
+    same = answered.where("trim(target) <> ''").groupBy("batch", F.trim("target").alias("_t")).agg(F.count("*").alias("n"), F.min("segment_id").alias("segment_id")).where("n > 1")
+    merged = same.select("batch", F.lit(4).alias("place"), F.lit("merge").alias("kind"), "segment_id", F.col("n").cast("string").alias("message"), F.lit(va.HARD).alias("severity"))
+    every = ids.unionByName(rows).unionByName(merged)
+    hard = every.groupBy("batch").agg(F.bool_or(F.col("severity") == va.HARD).alias("discarded"))
+    return every.join(hard, "batch")

@@ -5,6 +5,7 @@ Stand-ins: parts are entities, turns are units and blocks, lines of documents wi
 
 from __future__ import annotations
 
+from pyspark.sql import Window as _Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -243,7 +244,7 @@ def critic_rules(spark, sf):
 
 @query(f"""WITH {ENTS}, c AS (SELECT id, p_type, src, p_size / 50.0 AS confidence, CASE p_size % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'CREATURE_SPECIES' WHEN 2 THEN NULL WHEN 3 THEN 'LOCATION' ELSE 'WORK_MEDIA' END AS entity_type FROM ents),
 x AS (SELECT p_type, lower(string_agg(p_name, ', ' ORDER BY p_partkey)) AS low FROM part WHERE p_partkey < 60 GROUP BY p_type),
-j AS (SELECT c.*, low FROM c JOIN x USING (p_type) WHERE (coalesce(entity_type, '') = 'CREATURE_SPECIES' OR confidence < 0.55 OR coalesce(entity_type, '') IN ('CONCEPT_TERM', 'WORK_MEDIA', '', 'UNKNOWN')) AND contains(low, lower(src)))
+j AS (SELECT c.*, low FROM c JOIN x USING (p_type) WHERE (coalesce(entity_type, '') = 'CREATURE_SPECIES' OR confidence < 0.55 OR coalesce(entity_type, '') IN ('CONCEPT_TERM', 'WORK_MEDIA', '', 'UNKNOWN')) AND regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}])' || lower(src) || '($|[^\\p{{L}}\\p{{N}}])'))
 SELECT p_type, id AS place, 'cand:' || substr(sha256(lower(src)), 1, 12) AS candidate_id, position FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY id) AS position FROM j) WHERE position <= 128""")
 def llm_candidates(spark, sf):
     """What a model is to classify in the chapters (types of parts) of the stand-in."""
@@ -325,3 +326,66 @@ def part_groups(spark, sf):
     label = F.when(book % 6 != 0, F.concat(F.lit("Book "), word, F.lit(" / "), F.col("c_mktsegment"))).otherwise(F.lit(None))
     c = c.select(book.alias("book"), label.alias("source_label"), k.alias("start_page"), (k + 1).alias("end_page")).where("source_label IS NOT NULL")
     return ed.part_groups(c)
+
+
+@query(f"WITH {ENTS} SELECT id AS place, src AS canonical_source, tgt AS canonical_target, CASE WHEN p_size % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS entity_type, array_to_string(aliases, '|') AS aliases, 'proposed' AS status FROM ents WHERE id % 9 <> 0")
+def entity_csv(spark, sf):
+    """Entities written as CSV and read again: rows without a name or of unknown types are refused, the others come back."""
+    from ..operators.durable import new_path
+    from ..sources import interchange as ix
+
+    e, path = entities(spark, sf), new_path(spark, "entities")
+    k = F.col("id")
+    kind = F.when(k % 9 != 0, F.when(F.col("p_size") % 2 == 0, "PERSON").otherwise("LOCATION")).when(k % 2 == 0, "NO SUCH TYPE")
+    ix.write_entity_csv(e.select("canonical_source", "canonical_target", kind.alias("entity_type"), "aliases", F.lit("proposed").alias("status"), k.cast("string").alias("notes")), path)
+    good, _ = ix.read_entity_csv(spark, path)
+    return good.select(F.col("notes").cast("long").alias("place"), "canonical_source", "canonical_target", "entity_type", F.array_join("aliases", "|").alias("aliases"), "status")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'unknown entity_type' ELSE 'entity_type is required' END AS error FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT p_partkey, 'canonical_source is required' FROM part WHERE p_partkey % 9 = 1 UNION ALL SELECT p_partkey, 'confidence out of range' FROM part WHERE p_partkey % 9 = 2")
+def entity_csv_errors(spark, sf):
+    """What is wrong with each refused row of an entity file."""
+    from ..operators.durable import new_path
+    from ..sources import interchange as ix
+
+    e, path, k = entities(spark, sf), new_path(spark, "entities"), F.col("id")
+    kind = F.when(k % 9 != 0, "PERSON").when(k % 2 == 0, "NO SUCH TYPE")
+    name, sure = F.when(k % 9 != 1, F.col("canonical_source")), F.when(k % 9 == 2, "7").otherwise("0.5")
+    ix.write_entity_csv(e.select(name.alias("canonical_source"), "canonical_target", kind.alias("entity_type"), "aliases", sure.alias("confidence"), k.cast("string").alias("notes")), path)
+    _, bad = ix.read_entity_csv(spark, path)
+    return bad.select(F.col("notes").cast("long").alias("id"), "error")
+
+
+@query("SELECT p_partkey AS place, p_name AS source_term, p_type AS target_term, p_size % 2 = 0 AS preferred, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN lower(p_brand) ELSE 'un, \"due\"|' || lower(p_type) END AS forbidden, CASE WHEN p_size % 2 = 0 THEN 'approved' ELSE 'proposed' END AS status FROM part")
+def term_csv(spark, sf):
+    """A termbase written as CSV, lists joined by bars, and read again."""
+    from ..operators.durable import new_path
+    from ..sources import interchange as ix
+
+    k, path = F.col("p_size"), new_path(spark, "terms")
+    bad = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lower("p_brand"))).otherwise(F.array(F.lit('un, "due"'), F.lower("p_type")))
+    t_ = table(spark, sf, "part").select(F.col("p_name").alias("source_term"), F.col("p_type").alias("target_term"), F.lit("EVENT").alias("term_type"), (k % 2 == 0).alias("preferred"), bad.alias("forbidden_targets"), F.col("p_partkey").cast("string").alias("usage_notes"), F.when(k % 2 == 0, "approved").otherwise("proposed").alias("status"))
+    ix.write_term_csv(t_, path)
+    good, _ = ix.read_term_csv(spark, path)
+    return good.select(F.col("usage_notes").cast("long").alias("place"), "source_term", "target_term", "preferred", F.array_join("forbidden_targets", "|").alias("forbidden"), "status")
+
+
+@query(rf"""WITH {PAIRS}, b AS (SELECT conv_id, list(turn ORDER BY turn) AS want, list(turn ORDER BY turn) FILTER (conv_id % 4 <> 0 OR turn <> 1) AS got FROM bi GROUP BY conv_id),
+i AS (SELECT conv_id, 0 AS place, 'cardinality' AS kind, CAST(NULL AS BIGINT) AS turn, 'hard' AS severity FROM b WHERE len(want) <> len(coalesce(got, [])) UNION ALL SELECT conv_id, 0, 'id_missing', CAST(unnest(list_filter(want, lambda x: NOT list_contains(coalesce(got, []), x))) AS BIGINT), 'hard' FROM b),
+t AS (SELECT bi.*, target AS g FROM bi WHERE conv_id % 4 <> 0 OR turn <> 1),
+k AS (SELECT conv_id, 1 AS place, 'internal_token' AS kind, CAST(turn AS BIGINT) AS turn, 'hard' AS severity FROM t WHERE len(list_distinct(regexp_extract_all(g, '\[\[[^\]]*\]\]'))) > 0
+ UNION ALL SELECT conv_id, 3, 'forbidden_term', CAST(turn AS BIGINT), 'soft' FROM t WHERE source <> '' AND g <> '' AND contains(lower(g), 'idiot')
+ UNION ALL SELECT conv_id, 3, 'must_keep', CAST(turn AS BIGINT), 'soft' FROM t WHERE source <> '' AND g <> '' AND NOT contains(lower(g), 'the'))
+SELECT conv_id, place, kind, turn, severity, bool_or(severity = 'hard') OVER (PARTITION BY conv_id) AS discarded FROM (SELECT * FROM i UNION ALL SELECT * FROM k) WHERE kind IN ('cardinality', 'id_missing', 'internal_token', 'forbidden_term', 'must_keep')""")
+def validation_suite(spark, sf):
+    """Conversations as answers of a model, a turn lacking in every fourth: errors by place in the suite, and whether an answer is discarded.
+    Of the checks of pairs those that the SQL states; the others have queries of their own."""
+    from ..operators import validate as va
+
+    p = pairs(spark, sf)
+    got = F.when((F.col("conv_id") % 4 != 0) | (F.col("turn") != 1), F.col("turn").cast("long"))
+    b = p.groupBy(F.col("conv_id").alias("batch")).agg(F.sort_array(F.collect_list(F.col("turn").cast("long"))).alias("want"), F.sort_array(F.collect_list(got)).alias("got"))
+    answered = p.where((F.col("conv_id") % 4 != 0) | (F.col("turn") != 1)).select(F.col("conv_id").alias("batch"), F.col("turn").cast("long").alias("segment_id"), "source", "target")
+    s = ed.validated(b, answered, ["idiot"], ["the"])
+    s = s.where("kind IN ('cardinality', 'id_missing', 'internal_token', 'forbidden_term', 'must_keep')")
+    return s.select(F.col("batch").alias("conv_id"), "place", "kind", F.col("segment_id").alias("turn"), "severity", F.max((F.col("severity") == va.HARD).cast("int")).over(_Window.partitionBy("batch")).cast("boolean").alias("discarded"))

@@ -105,12 +105,67 @@ def read_term_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(good terms, rows with their first error) of a termbase CSV."""
     from ..operators import termbase as tb
 
-    names = ("source_term", "target_term", "term_type", "preferred", "forbidden_targets", "grammatical_gender_target", "grammatical_number", "inflection_notes", "usage_notes", "status")
-    df = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).option("escape", '"').csv(path).withColumn("error", tb.row_error())
+    df = _read(spark, TERM_FIELDS, path).withColumn("error", tb.row_error())
     good = df.where("error IS NULL").drop("error").withColumns({"preferred": tb.as_boolean("preferred"), "forbidden_targets": tb.as_list("forbidden_targets")})
     return good, df.where("error IS NOT NULL")
 
 
+TERM_FIELDS = ("source_term", "target_term", "term_type", "preferred", "forbidden_targets", "grammatical_gender_target", "grammatical_number", "inflection_notes", "usage_notes", "status")
+#: fixed values: columns of an entity file, and what some may hold
+ENTITY_FIELDS = ("canonical_source", "canonical_target", "entity_type", "referential_gender", "grammatical_number", "target_grammatical_gender", "translation_policy", "allow_inflection", "aliases", "definition", "notes", "confidence", "first_page", "mention_count", "status", "gender_evidence", "created_by")
+
+
+def _written(rows: DataFrame, fields: tuple[str, ...], path: str) -> None:
+    """A CSV of the fields, lists joined by bars; those that rows lack are empty."""
+
+    def field(name: str) -> Column:
+        if name not in rows.columns:
+            return F.lit("").alias(name)
+        kind = rows.schema[name].dataType.typeName()
+        return (F.array_join(name, "|") if kind == "array" else F.col(name).cast("string")).alias(name)
+
+    rows.select(*map(field, fields)).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def _read(spark: SparkSession, fields: tuple[str, ...], path: str) -> DataFrame:
+    return spark.read.schema(", ".join(f"{n} string" for n in fields)).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def write_term_csv(terms: DataFrame, path: str) -> None:
+    _written(terms, TERM_FIELDS, path)
+
+
+def write_entity_csv(entities: DataFrame, path: str) -> None:
+    _written(entities, ENTITY_FIELDS, path)
+
+
+def read_entity_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good entities, rows with their first error) of an entity file; a good row doesn't wait for a bad one."""
+    from ..operators import termbase as tb
+
+    low = lambda n: F.lower(F.trim(F.coalesce(n, F.lit(""))))
+    sure = F.trim("confidence")
+    error = (
+        F.when(low("canonical_source") == "", "canonical_source is required")
+        .when(low("entity_type") == "", "entity_type is required")
+        .when(~F.upper(F.trim("entity_type")).isin(*tb.TYPES), "unknown entity_type")
+        .when(tb.as_boolean("allow_inflection").isNull(), "invalid boolean")
+        .when((low("grammatical_number") != "") & ~low("grammatical_number").isin(*tb.NUMBERS), "invalid number")
+        .when((low("target_grammatical_gender") != "") & ~low("target_grammatical_gender").isin(*tb.GENDERS), "invalid gender")
+        .when((low("status") != "") & ~low("status").isin(*tb.STATUSES), "unknown status")
+        .when((F.coalesce(sure, F.lit("")) != "") & ~F.coalesce(sure.try_cast("double").between(0, 1), F.lit(False)), "confidence out of range")
+    )
+    df = _read(spark, ENTITY_FIELDS, path).withColumn("error", error)
+    good = df.where("error IS NULL").drop("error").withColumns({"aliases": tb.as_list("aliases"), "allow_inflection": tb.as_boolean("allow_inflection"), "confidence": sure.try_cast("double")})
+    return good, df.where("error IS NOT NULL")
+
+
+def read_entity_table(spark: SparkSession, path: str) -> DataFrame:
+    """Mentions of a tab-separated entity table of a book parser: rows with too few columns are left out."""
+    schema = "COREF int, start_token int, end_token int, prop string, cat string, text string"
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("mode", "DROPMALFORMED").csv(path).where("COREF IS NOT NULL AND text IS NOT NULL")
+
+
 def read_word_table(spark: SparkSession, path: str) -> DataFrame:
     """Recognised words of a TSV of layout levels: level 5, confidence of zero or more, some text."""
     schema = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, `left` int, top int, width int, height int, conf double, text string"
