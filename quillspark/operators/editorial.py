@@ -376,3 +376,39 @@ def validated(batches: DataFrame, answered: DataFrame, forbidden: list[str], kee
     every = ids.unionByName(rows).unionByName(merged)
     hard = every.groupBy("batch").agg(F.bool_or(F.col("severity") == va.HARD).alias("discarded"))
     return every.join(hard, "batch")
+
+
+def split_units(units: DataFrame, cuts: DataFrame) -> DataFrame:
+    """units(segment_id, chapter, ordinal, source), cuts(segment_id, at): a unit with a cut inside its text becomes two, the second with
+    the id `segment_id#2`; the ordinals of what follows in the chapter move on."""
+    u = units.join(cuts.select("segment_id", "at"), "segment_id", "left").withColumn("_cut", F.coalesce((F.col("at") > 0) & (F.col("at") < F.length("source")), F.lit(False)))
+    moved = rk.running_total(u, ["chapter"], [F.col("ordinal"), F.col("segment_id")], F.col("_cut").cast("long"), "_moves")
+    first = F.struct("segment_id", (F.col("ordinal") + F.col("_moves") - F.col("_cut").cast("long")).alias("ordinal"), F.when(F.col("_cut"), F.expr("substring(source, 1, at)")).otherwise(F.col("source")).alias("source"))
+    second = F.struct(F.concat("segment_id", F.lit("#2")).alias("segment_id"), (F.col("ordinal") + F.col("_moves")).alias("ordinal"), F.expr("substring(source, at + 1)").alias("source"))
+    return moved.select("chapter", F.explode(F.when(F.col("_cut"), F.array(first, second)).otherwise(F.array(first))).alias("u")).select("chapter", "u.*")
+
+
+def merged_entities(entities: DataFrame, aliases: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entities(entity, name, mentions, version), aliases(entity, alias), merges(entity, into): what is left of both. A merged entity's
+    name and aliases become aliases of the other, each once whatever its case; mentions add up, the version goes up by one."""
+    m = merges.where("entity <> into").select("entity", "into")
+    home = lambda df: df.join(m, "entity", "left").withColumn("home", F.coalesce("into", "entity"))
+    gains = home(entities).where("into IS NOT NULL").groupBy("into").agg(F.sum("mentions").alias("more"))
+    left = entities.join(m, "entity", "left_anti").join(gains, F.col("entity") == F.col("into"), "left")
+    left = left.select("entity", "name", (F.col("mentions") + F.coalesce("more", F.lit(0))).alias("mentions"), (F.col("version") + F.when(F.col("more").isNotNull(), 1).otherwise(0)).alias("version"))
+    every = home(aliases).select("home", "alias").unionByName(home(entities).where("into IS NOT NULL").select("home", F.col("name").alias("alias")))
+    one = every.groupBy(F.col("home").alias("entity"), F.lower("alias").alias("_key")).agg(F.min("alias").alias("alias")).drop("_key")
+    return left, one
+
+
+def with_status(rows: DataFrame, chosen: DataFrame, status: str, key: str = "id") -> DataFrame:
+    """rows(key, status, version) with the chosen ones in a status; the version goes up where that changes it."""
+    r = rows.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(True)), key, "left")
+    changes = F.col("_chosen").isNotNull() & ~F.col("status").eqNullSafe(F.lit(status))
+    return r.withColumns({"version": F.col("version") + F.when(changes, 1).otherwise(0), "status": F.when(changes, status).otherwise(F.col("status"))}).drop("_chosen")
+
+
+def recovered(jobs: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """jobs(status, beat) after a restart: those that run without a sign of life for so long have failed."""
+    stale = (F.col("status") == "running") & (F.coalesce("beat", F.lit("1970-01-01").cast("timestamp")) < now - F.make_dt_interval(mins=F.lit(minutes)))
+    return jobs.withColumns({"recovered": F.coalesce(stale, F.lit(False)), "status": F.when(stale, "failed").otherwise(F.col("status"))})

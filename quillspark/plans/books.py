@@ -124,16 +124,6 @@ def protected_boundaries(spark, sf):
     return c.groupBy("conv_id", "island").agg(F.count("*").alias("parts"))
 
 
-@query(f"WITH {UNITS}, e AS (SELECT *, ordinal % 4 = 2 AS hit FROM units) SELECT segment_id, 1 AS part, CASE WHEN hit THEN source[1:10] ELSE source END AS source FROM e UNION ALL SELECT segment_id, 2, source[11:] FROM e WHERE hit AND len(source) > 10")
-def segment_split(spark, sf):
-    """Some segments cut in a head and a tail."""
-    u = units(spark, sf).withColumn("hit", F.col("ordinal") % 4 == 2)
-    tail = F.substr(F.col("source"), F.lit(11))
-    head = F.struct(F.lit(1).alias("part"), F.when(F.col("hit"), F.substring("source", 1, 10)).otherwise(F.col("source")).alias("source"))
-    both = F.when(F.col("hit") & (F.length("source") > 10), F.array(head, F.struct(F.lit(2).alias("part"), tail.alias("source")))).otherwise(F.array(head))
-    return u.select("segment_id", F.explode(both).alias("p")).select("segment_id", "p.*")
-
-
 @query(f"WITH {UNITS} SELECT chapter, bool_and(status <> 'approved') AS may_clear, count(*) FILTER (status = 'approved') AS approved FROM units GROUP BY chapter")
 def clear_guard(spark, sf):
     ok = F.col("status") == "approved"
@@ -184,20 +174,6 @@ def evidence_flags(spark, sf):
     return units(spark, sf).groupBy("chapter").agg(F.bool_or((F.col("ordinal") % 6 == 5) | (F.col("status") == "untranslated")).alias("suspect"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'rejected' WHEN c_acctbal > 5000 THEN 'approved' ELSE c_mktsegment END AS status, 1 + CASE WHEN c_acctbal < 0 OR c_acctbal > 5000 THEN 1 ELSE 0 END AS version FROM customer""")
-def bulk_status(spark, sf):
-    b = F.col("c_acctbal")
-    return table(spark, sf, "customer").select("c_custkey", F.when(b < 0, "rejected").when(b > 5000, "approved").otherwise(F.col("c_mktsegment")).alias("status"), (1 + F.when((b < 0) | (b > 5000), 1).otherwise(0)).alias("version"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_partkey - p_partkey % 100 ELSE p_partkey END AS entity, p_name AS alias FROM part")
-def entity_merge(spark, sf):
-    """Some entities taken into others: their aliases follow."""
-    p = table(spark, sf, "part")
-    into = p.where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_partkey") - F.col("p_partkey") % 100).alias("into"))
-    return p.join(into, "p_partkey", "left").select("p_partkey", F.coalesce("into", "p_partkey").alias("entity"), F.col("p_name").alias("alias"))
-
-
 @query("""SELECT doc_id, text LIKE '{%' AS looks_json, coalesce(try_cast(json_valid(text) AS BOOLEAN), false) AS valid FROM documents""")
 def val_syntax(spark, sf):
     d = table(spark, sf, "documents")

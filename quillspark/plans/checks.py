@@ -78,23 +78,10 @@ def val_leftover(spark, sf):
     return va.with_leftover(pairs(spark, sf)).select("conv_id", "turn", "leftover")
 
 
-@query("""WITH r AS (SELECT o_custkey AS batch, list(o_orderkey ORDER BY o_orderkey) AS want, list(o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END ORDER BY o_orderkey) AS got FROM orders GROUP BY o_custkey)
-SELECT batch, len(list_filter(want, lambda x: NOT list_contains(got, x))) AS missing, len(list_filter(got, lambda x: NOT list_contains(want, x))) AS extra FROM r""")
-def val_ids(spark, sf):
-    o = table(spark, sf, "orders")
-    got = F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
-    r = o.groupBy(F.col("o_custkey").alias("batch")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("want"), F.sort_array(F.collect_list(got)).alias("got"))
-    return r.select("batch", F.size(F.filter("want", lambda x: ~F.array_contains("got", x))).cast("long").alias("missing"), F.size(F.filter("got", lambda x: ~F.array_contains("want", x))).cast("long").alias("extra"))
-
-
 @query()
 def val_identical(spark, sf):
-    """Pairs of copies: each document against the first of its source with the same beginning."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text", F.substring("text", 1, 60).alias("head"))
-    first = d.groupBy("source", "head").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f"))
-    p = d.join(first, ["source", "head"]).where(F.col("f.doc_id") < F.col("doc_id"))
-    p = p.select("doc_id", F.col("f.text").alias("source"), F.col("text").alias("target"))
-    return va.identical(p).select("doc_id", F.round("ratio", 4).alias("ratio"))
+    """Turns that are copies of the one before: the similarity of those that reach the limit."""
+    return va.identical(pairs(spark, sf)).select("conv_id", "turn", F.round("ratio", 4).alias("ratio"))
 
 
 @query()

@@ -15,6 +15,7 @@ from ..operators import layout as lo
 from ..operators import lines as ln
 from ..session import table
 from .layout import PAGED
+from .exchange import UNITS, units
 from .memory import PAIRS, pairs
 from .texts import LINES
 
@@ -389,3 +390,48 @@ def validation_suite(spark, sf):
     s = ed.validated(b, answered, ["idiot"], ["the"])
     s = s.where("kind IN ('cardinality', 'id_missing', 'internal_token', 'forbidden_term', 'must_keep')")
     return s.select(F.col("batch").alias("conv_id"), "place", "kind", F.col("segment_id").alias("turn"), "severity", F.max((F.col("severity") == va.HARD).cast("int")).over(_Window.partitionBy("batch")).cast("boolean").alias("discarded"))
+
+
+@query(f"""WITH {UNITS}, c AS (SELECT *, CASE WHEN ordinal % 4 = 2 THEN CAST(ordinal * 5 AS INTEGER) END AS pos FROM units), x AS (SELECT *, coalesce(pos > 0 AND pos < len(source), false) AS cut FROM c),
+m AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY chapter ORDER BY ordinal, segment_id) AS moves FROM x)
+SELECT chapter, segment_id, CAST(ordinal + moves - CASE WHEN cut THEN 1 ELSE 0 END AS BIGINT) AS ordinal, CASE WHEN cut THEN substr(source, 1, pos) ELSE source END AS source FROM m
+UNION ALL SELECT chapter, segment_id || '#2', CAST(ordinal + moves AS BIGINT), substr(source, pos + 1) FROM m WHERE cut""")
+def segment_split(spark, sf):
+    """Units cut by hand in two, each where the editor set the mark."""
+    u = units(spark, sf).select("segment_id", "chapter", "ordinal", "source")
+    return ed.split_units(u, u.where("ordinal % 4 = 2").select("segment_id", (F.col("ordinal") * 5).cast("int").alias("at")))
+
+
+MERGES = "e AS (SELECT p_partkey AS entity, p_name AS name, p_size AS mentions, 1 AS version, CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 3 END AS into_ FROM part)"
+
+
+@query(f"WITH {MERGES} SELECT entity, name, mentions + coalesce((SELECT sum(x.mentions) FROM e x WHERE x.into_ = e.entity), 0) AS mentions, 1 + CASE WHEN EXISTS (SELECT 1 FROM e x WHERE x.into_ = e.entity) THEN 1 ELSE 0 END AS version FROM e WHERE into_ IS NULL")
+def entity_merge(spark, sf):
+    """Entities after every tenth was taken into another."""
+    return _merged(spark, sf)[0]
+
+
+@query(f"WITH {MERGES}, a AS (SELECT coalesce(into_, entity) AS entity, p_type AS alias FROM e JOIN part ON p_partkey = entity UNION ALL SELECT entity, upper(name) FROM e WHERE into_ IS NULL UNION ALL SELECT into_, upper(name) FROM e WHERE into_ IS NOT NULL UNION ALL SELECT into_, name FROM e WHERE into_ IS NOT NULL) SELECT entity, min(alias) AS alias FROM a GROUP BY entity, lower(alias)")
+def entity_merge_aliases(spark, sf):
+    return _merged(spark, sf)[1]
+
+
+def _merged(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    e = p.select(k.alias("entity"), F.col("p_name").alias("name"), F.col("p_size").alias("mentions"), F.lit(1).alias("version"))
+    a = p.select(k.alias("entity"), F.col("p_type").alias("alias")).union(p.select(k, F.upper("p_name")))
+    return ed.merged_entities(e, a, p.where(k % 10 == 3).select(k.alias("entity"), (k - 3).alias("into")))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'BUILDING' ELSE c_mktsegment END AS status, 1 + CASE WHEN c_acctbal > 5000 AND c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END AS version FROM customer")
+def bulk_status(spark, sf):
+    """Chosen rows set to one status; those that have it already keep their version."""
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
+    chosen = c.where("c_acctbal > 5000").select("id")
+    return ed.with_status(c.select("id", F.col("c_mktsegment").alias("status"), F.lit(1).alias("version")), chosen.union(chosen), "BUILDING")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 30 MINUTES THEN 'failed' WHEN event_type = 'click' THEN 'running' ELSE event_type END AS status, event_type = 'click' AND ts < TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 30 MINUTES AS recovered FROM events")
+def recover_jobs(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "click", "running").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("beat"))
+    return ed.recovered(e, F.lit("2024-01-10 12:00:00").cast("timestamp"), 30).drop("beat")

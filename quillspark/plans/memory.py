@@ -46,12 +46,19 @@ def jaccard_pairs(spark, sf):
     return tm.similar_tokens(q.where("size(tokens) > 0"), e.where("size(tokens) > 0"), 0.3).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(f"""WITH {SIDES}, h AS (SELECT query_id, entry_id, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS method, CASE WHEN same THEN 1.0 ELSE round(0.5 + 0.5 * jac, 4) END AS score FROM j WHERE same OR jac >= 0.3),
+@query(f"""WITH {SIDES}, h AS (SELECT query_id, entry_id, CASE WHEN same THEN 'exact' ELSE 'fuzzy' END AS method, CASE WHEN same THEN 1.0 ELSE round(0.5 + 0.5 * jac, 4) END AS score FROM j WHERE same OR jac >= 0.65),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE method WHEN 'exact' THEN 0 ELSE 1 END, score DESC, entry_id) AS position FROM h)
 SELECT query_id, entry_id, method, CAST(score AS DOUBLE) AS score, position FROM r WHERE position <= 5""")
 def tm_funnel_topk(spark, sf):
     q, e = _sides(spark, sf)
-    return tm.funnel(q, e, fuzzy=0.3)
+    return tm.funnel(q, e)
+
+
+@query()
+def tm_funnel_meaning(spark, sf):
+    """All three methods at the product's thresholds: turns against the benchmark's items."""
+    q = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("source"))
+    return tm.funnel(q, _sides(spark, sf)[1], meaning=tm.SEMANTIC)
 
 
 @query()

@@ -96,12 +96,6 @@ def candidate_blocks(spark, sf):
     return g.select("p_type", "block", "candidates", F.sha2(F.array_join(F.col("l.id"), "\n"), 256).alias("block_hash"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'PERSON' ELSE 'ROLE' END AS entity_type, round(0.5 * (s_acctbal / 10000) + 0.5 * 0.8 + 1e-9, 3) AS confidence FROM supplier""")
-def field_merge(spark, sf):
-    s = table(spark, sf, "supplier")
-    return s.select("s_suppkey", F.when(F.col("s_acctbal") > 5000, "PERSON").otherwise("ROLE").alias("entity_type"), F.round(0.5 * (F.col("s_acctbal") / 10000) + 0.5 * 0.8 + 1e-9, 3).alias("confidence"))
-
-
 @query(f"""WITH {LINES}, s AS (SELECT lang, len(line) AS size, sum(len(line)) AS chars FROM lines WHERE line <> '' GROUP BY lang, len(line)), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY chars DESC, size) AS k FROM s)
 SELECT lang, CAST(size AS BIGINT) AS size, CAST(chars AS BIGINT) AS chars FROM r WHERE k <= 6""")
 def typography(spark, sf):
@@ -138,9 +132,3 @@ def range_repair(spark, sf):
     r = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("start_page"), (F.col("c_custkey") + F.col("c_nationkey") * 5).cast("bigint").alias("end_page"))
     w = Window.partitionBy("k").orderBy("start_page").rowsBetween(Window.unboundedPreceding, 0)
     return r.select("k", "start_page", F.max("end_page").over(w).alias("reach"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'failed' ELSE c_mktsegment END AS status, c_mktsegment IN ('BUILDING', 'MACHINERY') AS recovered FROM customer")
-def recover_jobs(spark, sf):
-    stale = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
-    return table(spark, sf, "customer").select("c_custkey", F.when(stale, "failed").otherwise(F.col("c_mktsegment")).alias("status"), stale.alias("recovered"))

@@ -206,16 +206,6 @@ def issue_replace(spark, sf):
     return human.unionByName(new)
 
 
-@query("""WITH a AS (SELECT n_nationkey, n_regionkey FROM nation), t AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer),
-u AS (SELECT c_nationkey, c_mktsegment, lag_set FROM (SELECT t.c_nationkey, t.c_mktsegment, p.c_mktsegment AS lag_set FROM t LEFT JOIN t p ON p.c_nationkey = t.c_nationkey - 1 AND p.c_mktsegment = t.c_mktsegment))
-SELECT c_nationkey, count(*) AS present, count(*) FILTER (lag_set IS NULL) AS introduced FROM u GROUP BY c_nationkey""")
-def chapter_delta(spark, sf):
-    sets = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("now"))
-    before = sets.select((F.col("c_nationkey") + 1).alias("c_nationkey"), F.col("now").alias("before"))
-    j = sets.join(before, "c_nationkey", "left")
-    return j.select("c_nationkey", F.size("now").cast("long").alias("present"), F.size(F.array_except("now", F.coalesce("before", F.array().cast("array<string>")))).cast("long").alias("introduced"))
-
-
 @query("""SELECT lower(alias) AS alias_key, min(alias) AS alias, count(*) AS n FROM (SELECT p_name AS alias FROM part UNION ALL SELECT p_type FROM part) GROUP BY lower(alias)""")
 def alias_union(spark, sf):
     p = table(spark, sf, "part")
