@@ -32,7 +32,7 @@ from .textnum import release
 
 CHUNK_BYTES = 8 << 20
 #: most rows that a chunk, a relay or a bucket sends in one hop
-FAN = 128
+FAN = 256
 #: no document's column has this name
 CHUNK = "__chunk__"
 PACKED = "c int, b int, data binary"
@@ -63,12 +63,12 @@ class Route:
 
 
 def route(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Route:
-    """Chunks of about chunk_bytes of text, and one for each shuffle partition at least; as many buckets by
-    bytes, and one for each core at least."""
+    """Chunks and buckets, each for about chunk_bytes of text, and one for each shuffle partition at least."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     by_bytes = -(-int(total) // chunk_bytes)
-    return Route(max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_bytes), max(spark.sparkContext.defaultParallelism, by_bytes, 1), FAN)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Route(max(least, by_bytes), max(least, by_bytes), FAN)
 
 
 def chunked(docs: DataFrame, count: int) -> DataFrame:

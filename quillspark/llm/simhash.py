@@ -232,7 +232,8 @@ def grouped(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int | No
     blocks = blocks or blocks_for(fps.count(), radius)
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(distinct.select("fp"), radius, blocks, hot), distinct.select(F.col("fp").alias("node"), F.col("rep").alias("rank")))
-    by_fp = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("rank")).alias("component_id"))
+    # written down, so that the join below splits the rows of a fingerprint that many documents have
+    by_fp = durable(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("rank")).alias("component_id")))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
