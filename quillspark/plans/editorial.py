@@ -247,7 +247,7 @@ def critic_rules(spark, sf):
 x AS (SELECT p_type, lower(string_agg(p_name, ', ' ORDER BY p_partkey)) AS low FROM part WHERE p_partkey < 60 GROUP BY p_type),
 j AS (SELECT c.*, low FROM c JOIN x USING (p_type) WHERE (coalesce(entity_type, '') = 'CREATURE_SPECIES' OR confidence < 0.55 OR coalesce(entity_type, '') IN ('CONCEPT_TERM', 'WORK_MEDIA', '', 'UNKNOWN')) AND regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}])' || lower(src) || '($|[^\\p{{L}}\\p{{N}}])'))
 SELECT p_type, id AS place, 'cand:' || substr(sha256(lower(src)), 1, 12) AS candidate_id, position FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY id) AS position FROM j) WHERE position <= 128""")
-def llm_candidates(spark, sf):
+def model_candidates(spark, sf):
     """What a model is to classify in the chapters (types of parts) of the stand-in."""
     k = F.col("p_size") % 5
     kind = F.when(k == 0, "PERSON").when(k == 1, "CREATURE_SPECIES").when(k == 3, "LOCATION").when(k == 4, "WORK_MEDIA")
