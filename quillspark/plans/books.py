@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import preprocess as pp
 from ..functions import text as t
 from ..operators import layout as lo
 from ..operators import lines as ln
@@ -177,7 +178,7 @@ def evidence_flags(spark, sf):
 @query("""SELECT doc_id, text LIKE '{%' AS looks_json, coalesce(try_cast(json_valid(text) AS BOOLEAN), false) AS valid FROM documents""")
 def val_syntax(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.col("text").startswith("{").alias("looks_json"), F.expr("try_parse_json(text) IS NOT NULL").alias("valid"))
+    return d.select("doc_id", F.col("text").startswith("{").alias("looks_json"), pp.is_json(F.col("text")).alias("valid"))
 
 
 @query("""SELECT p_partkey, CAST(round(least(100.0, p_size * 2.0), 4) AS DOUBLE) AS width_pct, p_retailprice > 0 AND p_size > 1 AS visible, round(p_size * 25.4 / 72, 4) AS mm FROM part""")

@@ -84,3 +84,18 @@ def test_sequential_rules():
     assert preprocess.error_rate([], []) == 0 and preprocess.error_rate([], ["x"]) == 1
     assert preprocess.parse_answer('```json\n{"a": "x\ny"}\n```') == '{"a": "x\\ny"}' and preprocess.parse_answer("no") is None
     assert [d["op"] for d in preprocess.diff_ops("a b c", "a x c")] == ["equal", "delete", "insert", "equal"]
+
+
+def test_json_as_the_sql_has_it(spark):
+    """Texts that begin like a number, and odd ones, against DuckDB's json_valid."""
+    import random
+
+    import duckdb
+
+    r = random.Random(5)
+    parts = ["[", "]", "{", "}", ",", ":", '"a"', '"', "1", "-", "0", ".5", "e5", "nan", "-INF", "Infinity", "true", "null", " ", "\n", "\t", "\x0b", " ", "\\u12", '"\\u00e9"', '"\\ud800"', '"\\ud83d\\ude00"', '"\\x"', '"\n"', "x"]
+    rows = ["4501042323994846 Anth heoron", "", " ", "[1,]", '{"a":1,}', "[,]", '{"a":[{}, {"b" : nan}]} ', "{a:1}", "01", "1.", "True", "[" * 5000 + "]" * 5000, "{}\x00"]
+    rows += ["".join(r.choices(parts, k=r.randrange(1, 7))) for _ in range(3000)]
+    rows += ["[" + ",".join(r.choices(['"k"', "1", "{}", '{"a":-0}', "[]", "", "1 2"], k=3)) + "]" for _ in range(300)]
+    want = [duckdb.execute("SELECT coalesce(try_cast(json_valid(?) AS BOOLEAN), false)", [x]).fetchone()[0] for x in rows]
+    assert values(spark, [*rows, None], preprocess.is_json(F.col("x"))) == [*want, False]
