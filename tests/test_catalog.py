@@ -5,6 +5,8 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -58,3 +60,24 @@ def test_nothing_else_imports_llm():
         if "/llm/" not in path:
             with open(path) as f:
                 assert "llm" not in f.read(), path
+
+
+def test_means_on_the_limit_in_the_order_of_the_file(spark, tmp_path):
+    """ocr_page over a lineitem of many files and row groups, whose means lie on the limit: as the SQL on one thread."""
+    import random
+
+    r = random.Random(7)
+    lines = [(k, n, x / 100) for k in range(3000) for n, x in enumerate(r.sample(r.choice([(0, 1, 9, 10, 10), (0, 2, 8, 10, 10), (0, 3, 8, 9, 10), (0, 4, 7, 9, 10), (0, 5, 6, 9, 10)]), 5))]
+    r.shuffle(lines)
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n, (a, z) in enumerate([(0, 500), (500, 1500), (1500, 3500), (3500, len(lines))]):  # Spark reads the largest first
+        k, no, x = zip(*lines[a:z], strict=True)
+        pq.write_table(pa.table({"l_orderkey": k, "l_linenumber": no, "l_discount": x}), tmp_path / f"lineitem.parquet/{n}.parquet", row_group_size=300)
+    spark.createDataFrame([(k, k % 500) for k in range(3000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = con.execute(entry.oracle_sql()["ocr_page"])
+    df = entry.queries()["ocr_page"](spark, str(tmp_path))
+    assert plain([tuple(x) for x in df.collect()], df.columns) == plain(found.fetchall(), [c[0] for c in found.description])
