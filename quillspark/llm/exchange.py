@@ -7,8 +7,10 @@ and the chunk, which can make the same sorted keys again, reads the answers by p
 
 How parts travel. A row carries the parts for one range of buckets, and a sender makes at
 most FAN rows. With up to FAN buckets a range is one bucket. Beyond, parts go in hops, as in
-a radix sort: a relay takes the rows of FAN senders for one range, and passes their parts on
-in one row for each of FAN smaller ranges; answers come back the same way. Rows in a hop are
+a radix sort: a relay takes the rows of so many senders for one range, and passes their parts on
+in one row for each of as many smaller ranges; answers come back the same way. The hops have
+equal steps, the n-th root of the number of buckets for n hops, so a relay gets about what a
+chunk sends, not the many times that of a full first step and a short last one. Rows in a hop are
 at most FAN for each chunk, and hops are the logarithm of the number of buckets, so rows grow
 in proportion to the input, not with chunks times buckets.
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .textnum import release
 
 CHUNK_BYTES = 8 << 20
-#: most rows that a chunk, a relay or a bucket sends in one hop
-FAN = 256
+#: most rows that a chunk, a relay or a bucket sends in one hop: one hop for 16 GB of text
+FAN = 2048
 #: no document's column has this name
 CHUNK = "__chunk__"
 PACKED = "c int, b int, data binary"
@@ -62,13 +64,22 @@ class Route:
         return self.fan ** (self.hops - 1)
 
 
+def even_fan(most: int) -> int:
+    """The least fan that reaches `most` in as many hops as FAN does."""
+    hops, fan = Route(most, most, FAN).hops, 1
+    while fan**hops < most:
+        fan += 1
+    return fan
+
+
 def route(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Route:
     """Chunks and buckets, each for about chunk_bytes of text, and one for each shuffle partition at least."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     by_bytes = -(-int(total) // chunk_bytes)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return Route(max(least, by_bytes), max(least, by_bytes), FAN)
+    n = max(least, by_bytes)
+    return Route(n, n, even_fan(n))
 
 
 def chunked(docs: DataFrame, count: int) -> DataFrame:

@@ -32,6 +32,19 @@ def test_hops():
     assert ex.Route(65, 3, 4).far == 64
 
 
+def test_a_relay_gets_what_a_chunk_sends(docs, monkeypatch):
+    """In chunks: a relay takes `fan` senders' rows, each for `far` of the buckets. One hop reaches 16 GB of text."""
+    for fan in (3, 16, ex.FAN):
+        monkeypatch.setattr(ex, "FAN", fan)
+        for n in (fan + 1, 2 * fan, fan * fan // 2 + 1, fan * fan, fan**3 - 1):
+            r = ex.Route(n, n, ex.even_fan(n))
+            assert r.hops == ex.Route(n, n, fan).hops and r.fan <= fan
+            assert r.fan * r.far / n <= 3
+    monkeypatch.undo()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert ex.route(docs).fan == ex.even_fan(parts) and ex.Route(2048, 2048, ex.even_fan(2048)).hops == 1
+
+
 @pytest.mark.parametrize("fan", [2, 3])
 def test_relays_change_nothing(docs, rows, monkeypatch, fan):
     of = lambda: (read(suffixes.digests(docs)), read(substrings.digests(docs)), [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in read(ngrams.scored(docs))])
