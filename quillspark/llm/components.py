@@ -20,6 +20,15 @@ from .storage import durable
 HOT, SHARE = 1000, 100_000
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, fewer where many a name the same few b: each a keeps its smallest b, and the
+    others that it names are linked to that one, once for all such a."""
+    named = edges.where("a is not null and b is not null and a <> b").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("all"))
+    own = named.select("a", F.col("all")[0].alias("b"))
+    more = named.where("size(all) > 1").select(F.col("all")[0].alias("a"), F.explode(F.expr("slice(all, 2, size(all) - 1)")).alias("b"))
+    return own.unionByName(more.distinct())
+
+
 def components(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node that each node of an edge can reach.
 

@@ -1,12 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints in BK-trees, and an exact Jaccard similarity of word shingles.
 
-MinHash bands only name candidates: of BANDS keys, each over ROWS smallest values, two sets at
-Jaccard j share one with chance 1 - (1 - j^ROWS)^BANDS, 0.9996 at 0.8 and more above. The sets
-that bands join, directly or by way of others, are gathered and all held against each other:
-only pairs whose shingle sets truly reach the similarity are linked.
+Fingerprints within RADIUS bits of each other, found by the BK-trees of simhash.py, name candidates.
+One fingerprint comes that close for part of the pairs at a Jaccard of 0.8 only, so MinHash bands name
+the others: of BANDS keys, each over ROWS smallest values, two sets at Jaccard j share one with chance
+1 - (1 - j^ROWS)^BANDS, 0.9996 at 0.8 and more above. The sets that either joins, directly or by way
+of others, are gathered and all held against each other: only pairs whose shingle sets truly reach
+the similarity are linked.
 
 A gathered group beyond `size` is cut into blocks, and each two blocks are held against each
-other, so no task holds a large group. Equal sets travel once.
+other, so no task holds a large group. A block gives a link for each of its sets; two blocks give
+one for each of their own groups that the other joins to more, not one for each set. Equal sets
+travel once.
 
 Rows: null and empty texts, and texts without words, have the empty set and are copies of each
 other; texts of fewer words than a shingle are one shingle; rows of a null doc_id link others
@@ -22,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .components import components
-from .simhash import SEED, shingle_hashes
+from .components import components, thinned
+from .simhash import SEED, blocks_for, fingerprint, links, shingle_hashes
 from .storage import durable
 
 #: fixed values: smallest values in a band's key, bands
 ROWS, BANDS = 5, 20
+#: fixed values: bits that fingerprints of candidates may differ in; sets of fewer shingles come close to unrelated ones and are near equal ones only
+RADIUS, FEW = 3, 8
 #: least similarity, as a fraction of whole numbers
 SIMILAR = (4, 5)
 _RANDOM = np.random.default_rng(SEED)
@@ -52,20 +58,21 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def _keyed(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, text) -> (doc_id, th, fp, bands): fp is a hash of the whole set."""
+    """(doc_id, th, text) -> (doc_id, th, fp, sim, bands): fp is a hash of the whole set, sim its SimHash fingerprint."""
 
     def run(batches):
         for b in batches:
             buf, offs = tn.buffer_of(tn.as_bytes(b.column(2)))
-            fps, keys = [], [np.zeros(0, np.int64)]
+            fps, sims, keys = [], [], [np.zeros(0, np.int64)]
             for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 s = shingle_set(buf[a:z].tobytes(), shingle)
                 fps.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                sims.append(fingerprint(s) if len(s) >= FEW else fps[-1])
                 keys.append(bands(s))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], names=["doc_id", "th", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, sims)), lists], names=["doc_id", "th", "fp", "sim", "bands"])
 
-    return texts.mapInArrow(run, "doc_id bigint, th bigint, fp bigint, bands array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, th bigint, fp bigint, sim bigint, bands array<bigint>")
 
 
 def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -85,6 +92,30 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     return out.astype(np.int64)
 
 
+def joins(close: np.ndarray) -> np.ndarray:
+    """The smallest place that each can reach by a symmetric matrix of links."""
+    out = np.arange(len(close))
+    while True:
+        new = np.minimum(out, np.where(close, out[None, :], len(out)).min(axis=1, initial=len(out)))
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(node, component) of the sets that fingerprints or bands join with others."""
+    once = rows.select("fp", "sim", "bands").dropDuplicates(["fp"])
+    sims = durable(once.groupBy("sim").agg(F.min("fp").alias("b")))
+    close = links(sims.select(F.col("sim").alias("fp")), RADIUS, blocks_for(sims.count(), RADIUS))
+    trees = close.join(sims.withColumnsRenamed({"sim": "a", "b": "fa"}), "a").join(sims.withColumnRenamed("b", "fb"), F.col("b") == F.col("sim")).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    equal = once.join(sims, "sim").select(F.col("fp").alias("a"), "b")
+    keys = once.select("fp", F.explode("bands").alias("key"))
+    first = keys.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    banded = thinned(keys.join(first, "key").select(F.col("fp").alias("a"), "b"))
+    return components(trees.unionByName(equal.where("a <> b")).unionByName(banded))
+
+
 def _confirmed(groups: DataFrame, shingle: int, size: int) -> DataFrame:
     """(fp, text, component, n) -> (a, b): links of pairs that are similar, spanning those of each two blocks."""
     cut = groups.withColumn("k", F.ceil(F.col("n") / size)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")))
@@ -94,22 +125,16 @@ def _confirmed(groups: DataFrame, shingle: int, size: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         fp = table["fp"].to_numpy()
-        left, right = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
         buf, offs = tn.buffer_of(tn.as_bytes(table["text"]))
         sets = [shingle_set(buf[a:z].tobytes(), shingle) for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        n = np.array([len(s) for s in sets])
-        close = (den + num) * common(sets, left, right) >= num * (n[left][:, None] + n[right][None, :])
-        close[left[:, None] == right[None, :]] = False
-        none = len(fp)
-        a, b = np.arange(len(left)), np.full(len(right), none)
-        while True:  # the smallest left place that each can reach inside these blocks
-            new_b = np.minimum(b, np.where(close, a[:, None], none).min(axis=0, initial=none))
-            new_a = np.minimum(a, np.where(close, new_b[None, :], none).min(axis=1, initial=none))
-            if (new_a == a).all() and (new_b == b).all():
-                break
-            a, b = new_a, new_b
-        f, t = np.concatenate([fp[left], fp[right[b < none]]]), np.concatenate([fp[left[a]], fp[left[b[b < none]]]])
-        return pa.table({"a": f[f != t], "b": t[f != t]})
+        n, every = np.array([len(s) for s in sets]), np.arange(len(sets))
+        close = (den + num) * common(sets, every, every) >= num * (n[:, None] + n[None, :])
+        # what a block's own links join comes from its pair with itself
+        same = (left[:, None] == left[None, :]) & (~(left & right))[:, None]
+        own, joined = joins(close & same), joins(close)
+        new = np.flatnonzero((own == every) & (joined != every))
+        return pa.table({"a": fp[new], "b": fp[joined[new]]})
 
     return pairs.groupBy("component", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
@@ -119,9 +144,7 @@ def grouped(docs: DataFrame, shingle: int = 5, size: int = 512) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     rows = durable(_keyed(texts, shingle))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th"))
-    keys = rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("key"))
-    first = keys.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    candidates = durable(components(keys.join(first, "key").where("a <> fp").select("a", F.col("fp").alias("b"))))
+    candidates = durable(_candidates(rows))
     # written down, so that the join below splits a large component's rows
     sizes = durable(candidates.groupBy("component").agg(F.count("*").alias("n")))
     wanted = candidates.join(sizes, "component").join(distinct, F.col("node") == F.col("fp")).select("th", "fp", "component", "n")

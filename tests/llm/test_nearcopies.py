@@ -93,3 +93,35 @@ def test_components_with_crowded_labels(spark, monkeypatch):
         monkeypatch.setattr(components, "HOT", hot)
         assert {r.node: r.component for r in components.components(frame).collect()} == root
         assert {r.node: r["rank"] for r in components.components(frame, ranks).collect()} == {n: None if least[root[n]][0] else least[root[n]][1] for n in nodes}
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark):
+    """A group of near copies in 3 and in 12 blocks: a link for each set, and one for each two blocks."""
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(120)]
+    for blocks in (3, 12):
+        rows = []
+        for k in range(blocks * 8):
+            w = list(words)
+            w[r.randrange(120)] = f"x{k}"
+            rows.append((k, " ".join(w), 1, blocks * 8))
+        found = nearcopies._confirmed(spark.createDataFrame(rows, "fp long, text string, component long, n long"), 5, 8).collect()
+        assert len(found) <= blocks * 8 + blocks * (blocks - 1) // 2
+        root = {k: k for k, *_ in rows}
+        for a, b in found:
+            old, new = root[a], root[b]
+            root = {k: new if x == old else x for k, x in root.items()}
+        assert len(set(root.values())) == 1
+
+
+def test_fingerprints_name_candidates(spark):
+    """Without bands the BK-trees alone find copies of one changed word."""
+    r = random.Random(8)
+    words = [[f"w{r.randrange(9000)}" for _ in range(600)] for _ in range(10)]
+    rows = [(2 * k, " ".join(w)) for k, w in enumerate(words)] + [(2 * k + 1, " ".join([*w[:-1], "else"])) for k, w in enumerate(words)]
+    keyed = nearcopies._keyed(spark.createDataFrame([(i, i, x) for i, x in rows], "doc_id long, th long, text string"), 5)
+    got = {r.doc_id: r.sim for r in keyed.collect()}
+    near = {k for k in range(10) if ((got[2 * k] ^ got[2 * k + 1]) & (1 << 64) - 1).bit_count() <= nearcopies.RADIUS}
+    node = {r.doc_id: r.fp for r in keyed.collect()}
+    found = {r.node: r.component for r in nearcopies._candidates(keyed.drop("bands").withColumn("bands", nearcopies.F.expr("transform(sequence(1, 20), k -> xxhash64(fp, k))"))).collect()}
+    assert len(near) > 3 and all(found[node[2 * k]] == found[node[2 * k + 1]] for k in near)
