@@ -153,7 +153,8 @@ def links(fps: DataFrame, radius: int, blocks: int, hot: int = 4096) -> DataFram
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius, blocks)])).alias("mask", "value"))
     sizes = shards.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shards = shards.join(sizes, ["mask", "value"])
+    # written down, as both kinds of shards below read it
+    shards = durable(shards.join(sizes, ["mask", "value"]))
 
     def trees(rows: list[pa.Table], last: bool):
         """Links of the shards that are whole, and what may be the beginning of the next."""

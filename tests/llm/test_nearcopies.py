@@ -125,3 +125,22 @@ def test_fingerprints_name_candidates(spark):
     node = {r.doc_id: r.fp for r in keyed.collect()}
     found = {r.node: r.component for r in nearcopies._candidates(keyed.drop("bands").withColumn("bands", nearcopies.F.expr("transform(sequence(1, 20), k -> xxhash64(fp, k))"))).collect()}
     assert len(near) > 3 and all(found[node[2 * k]] == found[node[2 * k + 1]] for k in near)
+
+
+def test_components_compute_their_edges_once(spark):
+    """Edges that a costly plan gives are not computed again for the other direction, nor for the links of thinned()."""
+    from quillspark.llm import components
+
+    rows = [(k, k % 5) for k in range(10, 90)] + [(k, k % 3 + 5) for k in range(10, 90)]
+    for thin in (False, True):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        edges = spark.createDataFrame(rows, "a long, b long").mapInArrow(counted, "a long, b long")
+        found = components.components(components.thinned(edges) if thin else edges)
+        assert {r.component for r in found.collect()} == {0}
+        assert seen.value == len(rows)
