@@ -163,3 +163,26 @@ def test_quote_ends_at_a_line_feed(spark):
     text = "before\n" + "a" * 60 + "th" + "b" * 60 + "\x0bon\u00a0 after"
     df = spark.createDataFrame([(text,)], "text string").select(editorial.quote(F.col("text"), F.instr("text", "th") - 1, F.instr("text", "th") + 1).alias("q"))
     assert df.first().q == "a" * 60 + "th" + "b" * 60 + "\x0bon\u00a0"
+
+
+def test_nearest_texts(spark):
+    """As nearest() over embedded texts, for the wanted rows, with many copies, empty texts and several blocks."""
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import embedding as em
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(r.randint(1, 6))) for _ in range(150)]
+    data = [(i, r.choice("xy"), t) for i, t in enumerate([*texts, *["alpha beta"] * 30, None, "", "!"])]
+    df = spark.createDataFrame(r.sample(data, len(data)), "id long, g string, t string").repartition(3)
+    want = vectors.nearest(df.select("id", "g", em.embed("t").alias("v")), "id", "v", "g", 3).where("score >= 0.6 and id % 5 = 0")
+    for block in (32768, 9):
+        assert rows(vectors.nearest_texts(df, "id", "t", "g", F.expr("id % 5 = 0"), 3, 0.6, block), "id", "other", "score") == rows(want, "id", "other", "score")
+
+
+def test_semantic_turns_by_few_rows(spark):
+    """What is shuffled are the best of each query and task, not vectors."""
+    from quillspark.catalog import QUERIES
+
+    plan = QUERIES["tm_semantic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and "Join" not in plan
