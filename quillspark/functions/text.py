@@ -214,7 +214,10 @@ def memory_key(col: Column | str) -> Column:
 
 
 def memory_tokens(col: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(memory_key(col), F.lit("([a-zà-ÿ0-9]+)"), F.lit(1)))
+    """The words of memory_key(), each once. Its marks and white space bound them as they are, so neither is replaced before."""
+    x = F.lower(F.coalesce(c(col), F.lit("")))
+    x = F.when(x.contains("[["), F.regexp_replace(x, r"\[\[.*?\]\]", " ")).otherwise(x)
+    return F.array_distinct(F.regexp_extract_all(x, F.lit("[a-zà-ÿ0-9]+"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

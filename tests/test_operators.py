@@ -165,6 +165,23 @@ def test_quote_ends_at_a_line_feed(spark):
     assert df.first().q == "a" * 60 + "th" + "b" * 60 + "\x0bon\u00a0"
 
 
+def test_overlapping_misses_no_pair(spark):
+    """As all pairs, with entries in one block and in several, rows without tokens and sets of many sizes."""
+    r = random.Random(4)
+    sets = lambda n: [(i, r.sample("abcdefghijkl", r.randint(0, 8))) for i in range(n)]
+    q, e = [*sets(60), (60, list("abcdefghijkl"))], sets(40)
+    for threshold, block in ((0.3, 512), (0.3, 7), (0.65, 40), (1.0, 1)):
+        found = memory.overlapping(spark.createDataFrame(q, "query_id int, tokens array<string>"), spark.createDataFrame(e, "entry_id int, tokens array<string>"), threshold, block)
+        want = sorted((a, b, len(set(x) & set(y)) / len(set(x) | set(y))) for a, x in q for b, y in e if x and len(set(x) & set(y)) / len(set(x) | set(y)) >= threshold)
+        assert rows(found, "query_id", "entry_id", "jaccard") == want
+
+
+def test_jaccard_pairs_shuffles_nothing(spark):
+    from quillspark.catalog import QUERIES
+
+    assert "Exchange" not in QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_nearest_texts(spark):
     """As nearest() over embedded texts, for the wanted rows, with many copies, empty texts and several blocks."""
     from pyspark.sql import functions as F
